@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, licences, line_dedup, mixing, secrets
-from .common import table
+from . import decontaminate, jaccard_join, language, licences, line_dedup, mixing, secrets, toxicity
+from .common import Scratch, crc_mod, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scratch = Scratch(spark, "toxicity")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0, scratch)
+    scratch.drop()
+    scored = toxicity.score(docs, model)
+    held_out = crc_mod("doc_id", 5) == 0
+    return scored.select("doc_id", held_out.alias("held_out"), F.col("qs_score").alias("score"), (F.col("qs_score") >= 0.5).cast("int").alias("predicted"), F.to_json("qs_evidence").alias("evidence"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language.train(docs, crc_mod("doc_id", 4) != 2)
+    found = language.identify(docs, net)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.report(decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")))
@@ -37,7 +54,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
+    "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
     "op9_secret_scan": op9_secret_scan,
