@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language, licences, line_dedup, mixing, secrets, toxicity
+from . import decontaminate, jaccard_join, language, licences, line_dedup, lm_scoring, media, mixing, secrets, toxicity
 from .common import Scratch, crc_mod, table
 
 
@@ -43,6 +43,19 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of quality 1; background: all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("qs_id")).distinct()
+    marked = docs.join(good, F.col("doc_id") == F.col("qs_id"), "left").withColumn("qs_good", F.col("qs_id").isNotNull())
+    models = lm_scoring.train(marked, F.col("qs_good"))
+    return lm_scoring.score(docs, models)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -59,6 +72,8 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_decontaminate": op5_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_media_columns": op7_media_columns,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_secret_scan": op9_secret_scan,
     "op10_line_dedup": op10_line_dedup,
 }
