@@ -1,0 +1,41 @@
+"""Registered queries of the operators, and the pipeline, at the smallest scale."""
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from oracle import same  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from quillstream.llm import queries  # noqa: E402
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_oracle(spark, name):
+    same(queries.QUERIES[name](spark, FOLDER), queries.ORACLE[name], FOLDER)
+
+
+def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    seen = [docs]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, seen[-1], FOLDER)
+        out.write.parquet(f"{tmp_path}/{k}")
+        seen.append(spark.read.parquet(f"{tmp_path}/{k}"))
+        if k < 4:
+            assert seen[-1].columns == docs.columns
+    counts = [d.count() for d in seen]
+    assert counts == sorted(counts, reverse=True) and counts[-1] == counts[-2]
+    # brute force of the stages that leave texts alone
+    from test_operators import brute
+
+    rows = sorted(seen[2].select("doc_id", "text").collect())
+    found = brute([r["text"] for r in rows], corpus_pipeline.SHINGLE, corpus_pipeline.PERCENT)
+    assert {r["doc_id"] for r in seen[3].collect()} == {rows[i]["doc_id"] for i, (n, c) in found.items() if c == i}
+    items = [r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    leaks = {r["doc_id"] for r in seen[3].collect() if any(t in r["text"] for t in items)}
+    assert not leaks & {r["doc_id"] for r in seen[4].collect()}
