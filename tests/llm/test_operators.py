@@ -236,11 +236,11 @@ def near_copies(seed):
     return texts + [f"{common} {prose(500 + i, 12)}" for i in range(25)]
 
 
-@pytest.mark.parametrize("n,percent,few", [(4, 85, 64), (5, 80, 2)])
-def test_jaccard_is_exact(spark, n, percent, few):
+@pytest.mark.parametrize("n,percent,block", [(4, 85, 400_000), (5, 80, 300)])
+def test_jaccard_is_exact(spark, n, percent, block):
     texts = near_copies(n)
     docs = docs_of(spark, texts)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, n=n, percent=percent, few=few).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, n=n, percent=percent, block=block).collect()}
     assert got == brute(texts, n, percent)
 
 
