@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Word rule of the contracts: runs of anything but space and \x09-\x0D. bytes.split() splits on exactly these bytes.
 WORD_RE = r"[^\x20\x09-\x0D]+"
+#: Whether Spark removes an execution's shuffle files at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +45,19 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """A folder of tables under the shared root. Cut lineage there: the files outlive lost executors."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, under: Scratch | None = None):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{under.path if under else shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        where = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(where)
+        """Writes and rereads a table. The shuffles behind it are then of no more use and are removed when the write is done."""
+        where, conf = f"{self.path}/{name}", self.spark.conf
+        before = conf.get(CLEAN, None)
+        conf.set(CLEAN, "true")
+        try:
+            df.write.mode("overwrite").parquet(where)
+        finally:
+            conf.set(CLEAN, before) if before is not None else conf.unset(CLEAN)
         return self.spark.read.parquet(where)
 
     def drop(self, name: str = "") -> None:
@@ -110,6 +118,7 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
     Labels travel along links and then jump to their label's label, so the rounds
     follow the logarithm of the longest path. Each round is a written table.
     """
+    scratch = Scratch(scratch.spark, "components", under=scratch)
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = scratch.save(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-links")
     labels = scratch.save(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "cc-0")

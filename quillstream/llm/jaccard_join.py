@@ -13,10 +13,12 @@ elements. The hash domain is cut into ranges (partitions):
   the signatures are all subsets of 4 partitions of a group.
 
 Equal sets are one set throughout. Sets of a signature are compared with the smallest
-id of the signature, never all with all; that settles groups of near copies in linear work. Only
-signatures that still hold more than one component get level 2 signatures, then the
-same again, and only what still differs after that is compared in pairs of different
-components. Every link between different components is thus tested.
+id of the signature, never all with all; that settles groups of near copies in linear work.
+Signatures that then still hold more than one component tie their sets into clusters. A
+cluster whose sets fit a block (`block` elements in all) is settled in one task; the sets of a
+larger one get level 2 signatures, are compared with those signatures' smallest ids, and what is still
+open is settled in pairs of blocks. A task counts overlaps and returns only links that join
+components, so no list of pairs is ever made, and every link between different components is tested.
 
 Null texts, empty texts and texts without words have empty sets and link with nothing.
 Texts of fewer than n words are one shingle, their whole sequence. Repeated rows give
@@ -129,13 +131,42 @@ def _map(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, what:
     return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, d1 bigint, d2 bigint, list array<bigint>")
 
 
+def settle(ids: list, comps: list, sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple]:
+    """Links (a, b) that join components, among sets of a block (equal sides) or across two (sides 0 and 1 meet)."""
+    sizes = np.array([len(s) for s in sets])
+    _, ranks = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    mark, side = np.zeros(int(ranks.max()) + 1, np.int32), np.array(sides)
+    across = bool(side.any()) and not bool(side.all())
+    names = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    comp, left, out = np.array([names[c] for c in comps]), len(names), []
+    for x in range(len(ids)):
+        if left == 1:
+            break
+        mine = ranks[starts[x] : starts[x] + sizes[x]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[ranks], starts)
+        mark[mine] = 0
+        hit = (both * 100 >= (sizes[x] + sizes - both) * percent) & (comp != comp[x])
+        for y in np.flatnonzero(hit & (side != side[x]) if across else hit).tolist():
+            if comp[y] != comp[x]:
+                comp[comp == comp[y]] = comp[x]
+                left -= 1
+                out.append((ids[x], ids[y]))
+    return out
+
+
 class _Join:
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, scratch: Scratch):
-        self.docs, self.id_col, self.scratch, self.percent = docs, id_col, scratch, percent
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int, scratch: Scratch):
+        self.docs, self.id_col, self.scratch, self.percent, self.block = docs, id_col, scratch, percent, block
         self.held = lambda df, what: _map(df, id_col, text_col, n, percent, what)
+        self.sets: DataFrame | None = None
 
-    def texts_of(self, ids: DataFrame) -> DataFrame:
-        return self.docs.join(ids.select(F.col("id").alias("qs_id")), F.col(self.id_col) == F.col("qs_id"), "left_semi")
+    def load(self, members: DataFrame) -> None:
+        """The sets of all members, the only ones that are compared, with one pass over the texts."""
+        ids = members.select(F.col("id").alias("qs_id")).distinct()
+        texts = self.docs.join(ids.hint("merge"), F.col(self.id_col) == F.col("qs_id"), "left_semi")  # ids grow with the corpus
+        self.sets = self.scratch.save(self.held(texts, "set").select("id", "n", "list"), "sets")
 
     def buckets(self, rows: DataFrame, name: str) -> DataFrame:
         """(sig, id, hub): members of the signatures that more than one set has."""
@@ -143,60 +174,100 @@ class _Join:
         out = rows.withColumns({"hub": F.min("id").over(over), "top": F.max("id").over(over)}).where("hub <> top").drop("top")
         return self.scratch.save(out, name)
 
-    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
-        left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("list").alias("la"))
-        right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("list").alias("lb"))
-        met = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
-        met = met.withColumn("both", F.size(F.array_intersect("la", "lb")))
-        return met.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * self.percent).select("a", "b").distinct()
+    def finer(self, ids: DataFrame) -> DataFrame:
+        """(id, sig) of level 2."""
+        kind, percent = self.sets.schema["id"].dataType.simpleString(), self.percent
+
+        def run(batches):
+            plan = Plan(percent)
+            for batch in batches:
+                made = [signatures(np.array(s, np.int64).view(np.uint64), plan, 2) for s in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(made)], ["id", "list"])
+
+        rows = self.sets.join(ids.hint("merge"), "id", "left_semi").select("id", "list")
+        return rows.mapInArrow(run, f"id {kind}, list array<bigint>").select("id", F.explode("list").alias("sig")).distinct()
 
     def led(self, members: DataFrame, known: DataFrame | None, name: str) -> DataFrame:
         """Links between members and hubs; known: components that need no more links inside."""
         pairs = members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         if known is not None:
             pairs = self.named(self.named(pairs, known, "a", "ca"), known, "b", "cb").where("ca <> cb").select("a", "b")
-        pairs = self.scratch.save(pairs, f"{name}-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = self.scratch.save(self.held(self.texts_of(ids), "set"), f"{name}-sets")
-        return self.scratch.save(self.verified(pairs, sets), f"{name}-links")
+        left = self.sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("list").alias("la"))
+        right = self.sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("list").alias("lb"))
+        near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
+        met = left.join(pairs.hint("merge"), "a").join(right.hint("merge"), "b").where(near).withColumn("both", F.size(F.array_intersect("la", "lb")))
+        linked = met.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * self.percent)
+        return self.scratch.save(linked.select("a", "b").distinct(), f"{name}-links")
 
     def named(self, rows: DataFrame, known: DataFrame, key: str, name: str) -> DataFrame:
         at = known.select(F.col("node").alias("qs_node"), F.col("component").alias("qs_comp"))
         return rows.join(at, F.col(key) == F.col("qs_node"), "left").withColumn(name, F.coalesce("qs_comp", F.col(key))).drop("qs_node", "qs_comp")
 
     def open(self, members: DataFrame, known: DataFrame, name: str) -> DataFrame:
-        """Members, with component, of the signatures that hold more than one component."""
+        """(cluster, id, comp, n, blocks) of the sets whose signatures hold more than one component."""
         rows = self.scratch.save(self.named(members, known, "id", "comp"), f"{name}-named")
         split = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        return self.scratch.save(rows.join(split, "sig", "left_semi"), name)
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+        left = self.scratch.save(rows.join(split, "sig", "left_semi").select("id", "hub", "comp").distinct(), f"{name}-left")
+        self.scratch.drop(f"{name}-named")
+        clusters = components(left, self.scratch, "id", "hub")
+        held = self.named(left.select("id", "comp").distinct(), clusters, "id", "cluster").join(self.sets.select("id", "n"), "id")
+        sizes = held.groupBy("cluster").agg(F.ceil(F.sum("n") / self.block).cast("int").alias("blocks"))
+        return self.scratch.save(held.join(sizes, "cluster"), name)
+
+    def settled(self, rows: DataFrame, name: str) -> DataFrame:
+        """Links found by comparing the blocks of each cluster with each other."""
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        spread = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = spread.select("cluster", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+        ready = self.sets.join(spread.hint("merge"), "id").select("cluster", "i", "j", "id", "comp", (F.col("own") != F.col("i")).cast("int").alias("side"), "list")
+        kind, percent = self.sets.schema["id"].dataType.simpleString(), self.percent
+
+        def run(batches):
+            key, held = None, []
+
+            def done():
+                found = settle([h[3] for h in held], [h[4] for h in held], [h[5] for h in held], [np.array(h[6], np.int64) for h in held], percent) if len(held) > 1 else []
+                return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], types[0]), pa.array([b for _, b in found], types[0])], ["a", "b"]) if found else None
+
+            for batch in batches:
+                types = [batch.schema.field("id").type]
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if row[:3] != key:
+                        if held and (got := done()):
+                            yield got
+                        key, held = row[:3], []
+                    held.append(row)
+            if held and (got := done()):
+                yield got
+
+        grouped = ready.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+        return self.scratch.save(grouped.mapInArrow(run, f"a {kind}, b {kind}"), f"{name}-links")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, block: int = 400_000) -> DataFrame:
     """(id, n_shingles, component_id) for every row."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    join = _Join(docs, id_col, text_col, n, percent, scratch)
+    join = _Join(docs, id_col, text_col, n, percent, block, scratch)
     profile = scratch.save(join.held(docs, "1"), "profile")
-    small = profile.select("id", "n", "d1", "d2")
+    small = scratch.save(profile.select("id", "n", "d1", "d2"), "sizes")
     reps = scratch.save(small.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep")).where("rep IS NOT NULL"), "reps")
-    first = profile.join(reps.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi")
+    first = profile.join(reps.select(F.col("rep").alias("id"), "d1", "d2").hint("merge"), ["id", "d1", "d2"], "left_semi")
     members = join.buckets(first.select("id", F.explode("list").alias("sig")), "members-1")
+    scratch.drop("profile")
+    join.load(members)
     links = join.led(members, None, "level-1")
     known = components(links, scratch)
     left = join.open(members, known, "open-1")
-    ids = left.select("id").distinct()
     if left.limit(1).count():
-        finer = join.held(join.texts_of(ids), "2").select("id", F.explode("list").alias("sig")).distinct()
-        members = join.buckets(finer, "members-2")
-        links = scratch.save(links.union(join.led(members, known, "level-2")), "links-2")
-        known = components(links, scratch)
-        left = join.open(members, known, "open-2")
-        if left.limit(1).count():
-            a, b = left.select("sig", F.col("id").alias("a"), F.col("comp").alias("ca")), left.select("sig", F.col("id").alias("b"), F.col("comp").alias("cb"))
-            pairs = scratch.save(a.join(b, "sig").where("ca <> cb AND a < b").select("a", "b").distinct(), "pairs-3")
-            sets = scratch.save(join.held(join.texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "set"), "sets-3")
-            links = scratch.save(links.union(join.verified(pairs, sets)), "links-3")
+        links = scratch.save(links.union(join.settled(left.where("blocks = 1"), "narrow-1")), "links-1")
+        wide = left.where("blocks > 1").select("id").distinct()
+        if wide.limit(1).count():
             known = components(links, scratch)
+            members = join.buckets(join.finer(wide), "members-2")
+            links = scratch.save(links.union(join.led(members, known, "level-2")), "links-2")
+            left = join.open(members, components(links, scratch), "open-2")
+            links = scratch.save(links.union(join.settled(left, "wide-2")), "links-3")
+        known = components(links, scratch)
     classes = join.named(reps, known, "rep", "component").drop("rep")
     rows = small.join(classes, ["d1", "d2"], "left")
     out = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
