@@ -9,7 +9,7 @@ so the k nearest are exact (ties by example order). Their labels vote by squared
 similarity. Votes become probabilities by a monotone fit of leave-one-out votes on the
 examples. Texts that share no feature with any example get the rate of such examples.
 
-The index holds at most `max_examples` labelled rows (the first by hash of their id) and
+Examples of one text count once, as toxic if any is. The index holds at most `max_examples` labelled rows (the first by hash of their id) and
 `max_features` features; that bounds what is collected and sent to executors. All rows are scored on
 their whole texts. Null and empty texts score as texts without features. Without
 labels all scores are 0. Rows are independent; repeated rows score alike.
@@ -22,7 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -146,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, scratch: Scratch, i
     rows = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("qs_id")).agg((F.max(label_col) > 0).cast("int").alias("qs_y"))
     rows = F.broadcast(rows.orderBy(F.xxhash64("qs_id"), "qs_id").limit(max_examples))  # at most max_examples ids and labels
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(rows, F.col("id") == F.col("qs_id")).select("id", "qs_y", "text")
-    held = scratch.save(held, "examples")
+    once = Window.partitionBy(F.xxhash64("text"), "text").orderBy(F.desc("qs_y"), "id")  # copies would count as evidence of their own
+    held = scratch.save(held.withColumn("qs_r", F.row_number().over(once)).where("qs_r = 1").drop("qs_r"), "examples")
 
     def count(batches):
         for batch in batches:
