@@ -111,18 +111,20 @@ def has_letter(text: str) -> bool:
 
 
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, per_text: int = 4, most_langs: int = 1000, window: int = 192) -> Net | None:
-    """A net from labelled rows where `learn` holds; None without any. The most_langs most frequent languages at most are learned."""
+    """A net from labelled rows where `learn` holds; None without any. The most_langs most frequent languages are learned."""
     size = F.length(text_col)
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & (size > 0))
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    picked = rows.select(F.col(lang_col).cast("string").alias(lang_col), id_col, text_col).withColumn("qs_rank", F.row_number().over(order)).where(F.col("qs_rank") <= per_lang)
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & (size > 0)).withColumns({lang_col: F.col(lang_col).cast("string"), "qs_h": F.xxhash64(id_col)})
+    held = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count("*")).orderBy(F.desc("count(1)"), lang_col).limit(most_langs).collect()}
+    if not held:
+        return None
+    # A bound on the hash keeps somewhat more than per_lang rows of each language before any are moved.
+    share = F.create_map(*[F.lit(x) for lang, n in held.items() for x in (lang, min(1.0, (1.5 * per_lang + 50) / n))])
+    rows = rows.where(F.pmod("qs_h", F.lit(1 << 20)) < F.element_at(share, F.col(lang_col)) * (1 << 20))
+    order = Window.partitionBy(lang_col).orderBy(F.pmod("qs_h", F.lit(1 << 20)), "qs_h", id_col)
+    picked = rows.select(lang_col, id_col, text_col).withColumn("qs_h", F.xxhash64(id_col)).withColumn("qs_rank", F.row_number().over(order)).where(F.col("qs_rank") <= per_lang)
     spots = F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda i: F.substring(F.col(text_col), (F.floor(i * F.greatest(size - window, F.lit(0)) / max(1, per_text - 1)) + 1).cast("int"), F.lit(window)))
     got = picked.select(lang_col, F.xxhash64(id_col).alias("h"), F.array_distinct(spots).alias("parts")).collect()
-    langs = sorted({r[0] for r in got})
-    if not langs:
-        return None
-    if len(langs) > most_langs:
-        raise ValueError(f"{len(langs)} languages; most_langs is {most_langs}")
+    langs = sorted(held)
     x, y = [], []
     for lang, _, parts in sorted(got, key=lambda r: (r[1], r[0])):
         for part in parts:
