@@ -138,8 +138,9 @@ class Mixture:
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken, source: one row per row of the documents."""
         times = self.slots().groupBy("src", "block").agg(F.count("*").alias("times"))
+        times = times.hint("merge")  # made from a few sources, yet as many as there are blocks: size estimates are far off
         words = self.pieces().join(times, ["src", "block"]).groupBy("uid").agg(F.sum((F.col("upto") - F.col("from")) * F.col("times")).alias("words"))
-        out = self.placed.join(words, "uid", "left")
+        out = self.placed.join(words.hint("merge"), "uid", "left")
         return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "source")
 
     def blocks(self) -> DataFrame:
@@ -147,11 +148,11 @@ class Mixture:
         words = F.filter(F.split(F.col(self.text_col), r"[\x20\x09-\x0D]+"), lambda w: w != "")
         texts = self.docs.select(F.col(self.id_col).alias("doc_id"), F.xxhash64(self.text_col).alias("mark"), words.alias("words")).dropDuplicates(["doc_id", "mark"])
         marks = self.scratch.spark.read.parquet(f"{self.scratch.path}/sized").select("uid", "mark", F.col("doc_id").alias("d"))
-        held = self.pieces().join(marks, "uid").join(texts, F.col("d").eqNullSafe(texts.doc_id) & (marks.mark == texts.mark))
+        held = self.pieces().join(marks.hint("merge"), "uid").join(texts.hint("merge"), F.col("d").eqNullSafe(texts.doc_id) & (marks.mark == texts.mark))
         held = held.select("src", "block", F.struct("from", F.array_join(F.slice("words", (F.col("from") - F.col("start") + 1).cast("int"), (F.col("upto") - F.col("from")).cast("int")), " ").alias("t")).alias("part"))
         packed = held.groupBy("src", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["t"]), " ").alias("text"))
         named = self.sources.select("src", "source")
-        return self.slots().join(packed, ["src", "block"]).join(named, "src").select("shard", "slot", "source", "block", "text")
+        return self.slots().join(packed.hint("merge"), ["src", "block"]).join(named, "src").select("shard", "slot", "source", "block", "text")
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
