@@ -75,7 +75,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
 class Mixture:
     """The parts of a mix: documents with positions, sources with targets, slots of shards."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 16384, seed: int = 17, bucket_rows: int = 20000):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 64, shard_slots: int = 16384, seed: int = 17, bucket_rows: int = 2000):
         self.block, self.seed, self.shard_slots, self.docs, self.text_col, self.id_col = block_words, seed, shard_slots, docs, text_col, id_col
         self.scratch = Scratch(docs.sparkSession, "mixing")
         n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_RE)), F.lit(0)).cast("long")
@@ -90,7 +90,7 @@ class Mixture:
         sources = sources.withColumn("passes", passes).withColumn("slots", F.col("passes") * F.col("blocks") + part)
         self.sources = self.scratch.save(sources, "sources")
         rows, = sized.agg(F.count("*")).first()
-        buckets = max(16, -(-rows // bucket_rows))
+        buckets = max(64, -(-rows // bucket_rows))
         keyed = sized.join(self.sources.select("src", F.col("source").alias("name"), "source_size", "target"), sized.source.eqNullSafe(F.col("name"))).drop("name")
         keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)))
         sums = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("held"))
