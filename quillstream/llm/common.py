@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import xxhash
@@ -18,7 +19,24 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that jobs don't depend on its being installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_quillstream_sent", None):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    where = os.path.join(os.path.realpath(tempfile.mkdtemp()), "quillstream.zip")
+    with zipfile.ZipFile(where, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "quillstream")):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, root))
+    context.addPyFile(where)
+    context._quillstream_sent = where
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
