@@ -133,22 +133,34 @@ def crc_mod(col: str, mod: int):
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the links.
 
-    Labels travel along links and then jump to their label's label, so the rounds
-    follow the logarithm of the longest path. Each round is a written table.
+    In a round each node points to its smallest neighbour if that is smaller, pointers
+    are followed to their ends, and the links are carried over to these ends. Only
+    local minima are left, so nodes at least halve and later rounds are small. Each table is written.
     """
     scratch = Scratch(scratch.spark, "components", under=scratch)
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = scratch.save(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-links")
-    labels = scratch.save(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "cc-0")
-    step = 0
+    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    links = scratch.save(links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links-0")
+    whole, step = None, 0
     while True:
+        up = scratch.save(links.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("to")), f"up-{step}-0")
+        hop = 0
+        while True:
+            hop += 1
+            over = up.select(F.col("node").alias("at"), F.col("to").alias("end"))
+            up = scratch.save(up.join(over, up["to"] == over["at"]).select("node", F.col("end").alias("to"), (F.col("end") != F.col("to")).alias("moved")), f"up-{step}-{hop}")
+            scratch.drop(f"up-{step}-{hop - 1}")
+            ended = not up.where("moved").limit(1).count()
+            up = up.select("node", "to")
+            if ended:
+                break
+        if whole is None:
+            whole = up.select("node", F.col("to").alias("component"))
+        else:
+            whole = whole.join(up, whole.component == up.node, "left").select(whole.node, F.coalesce("to", "component").alias("component"))
         step += 1
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("component").alias("best"))
-        moved = labels.join(near, labels.node == near.u, "left").select("node", F.col("component").alias("old"), F.least("component", "best").alias("mid"))
-        jump = labels.select(F.col("node").alias("at"), F.col("component").alias("there"))
-        new = moved.join(jump, moved.mid == jump["at"], "left").select("node", F.least("mid", F.coalesce("there", "mid")).alias("component"), (F.least("mid", F.coalesce("there", "mid")) != F.col("old")).alias("changed"))
-        new = scratch.save(new, f"cc-{step}")
-        scratch.drop(f"cc-{step - 1}")
-        labels = new.select("node", "component")
-        if not new.where("changed").limit(1).count():
-            return labels
+        left = up.select(F.col("node").alias("u"), F.col("to").alias("pu"))
+        right = up.select(F.col("node").alias("v"), F.col("to").alias("pv"))
+        links = scratch.save(links.join(left, "u").join(right, "v").where("pu <> pv").select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct(), f"links-{step}")
+        scratch.drop(f"links-{step - 1}")
+        if not links.limit(1).count():
+            return scratch.save(whole, "components")
