@@ -12,12 +12,11 @@ elements. The hash domain is cut into ranges (partitions):
 * level 2 has ceil((k + 1) / 4) groups of 7 partitions. In one group at most 3 differ, so
   the signatures are all subsets of 4 partitions of a group.
 
-Equal sets are one set throughout. Sets of a signature are compared with the smallest
-id of the signature, never all with all; that settles groups of near copies in linear work.
-Signatures that then still hold more than one component tie their sets into clusters. A
-cluster whose sets fit a block (`block` elements in all) is settled in one task; the sets of a
-larger one get level 2 signatures, are compared with those signatures' smallest ids, and what is still
-open is settled in pairs of blocks. A task counts overlaps and returns only links that join
+Equal sets are one set throughout. Signatures tie their sets into clusters. A cluster whose
+sets fit a block (`block` elements in all) is settled in one task. The sets of a larger one
+are compared with the smallest id of each of their signatures, never all with all, which
+settles groups of near copies in linear work; then the same with level 2 signatures, and what is
+still open is settled in pairs of blocks. A task counts overlaps and returns only links that join
 components, so no list of pairs is ever made, and every link between different components is tested.
 
 Null texts, empty texts and texts without words have empty sets and link with nothing.
@@ -255,19 +254,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = join.buckets(first.select("id", F.explode("list").alias("sig")), "members-1")
     scratch.drop("profile")
     join.load(members)
-    links = join.led(members, None, "level-1")
+    known = scratch.save(members.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0), "none")
+    left = join.open(members, known, "open-0")
+    links = join.settled(left.where("blocks = 1"), "narrow")
+    wide = left.where("blocks > 1").select("id").distinct()
+    if wide.limit(1).count():
+        links = scratch.save(links.union(join.led(members.join(wide, "id", "left_semi"), None, "level-1")), "links-1")
+        members = join.buckets(join.finer(wide), "members-2")
+        links = scratch.save(links.union(join.led(members, components(links, scratch), "level-2")), "links-2")
+        left = join.open(members, components(links, scratch), "open-2")
+        links = scratch.save(links.union(join.settled(left, "wide-2")), "links-3")
     known = components(links, scratch)
-    left = join.open(members, known, "open-1")
-    if left.limit(1).count():
-        links = scratch.save(links.union(join.settled(left.where("blocks = 1"), "narrow-1")), "links-1")
-        wide = left.where("blocks > 1").select("id").distinct()
-        if wide.limit(1).count():
-            known = components(links, scratch)
-            members = join.buckets(join.finer(wide), "members-2")
-            links = scratch.save(links.union(join.led(members, known, "level-2")), "links-2")
-            left = join.open(members, components(links, scratch), "open-2")
-            links = scratch.save(links.union(join.settled(left, "wide-2")), "links-3")
-        known = components(links, scratch)
     classes = join.named(reps, known, "rep", "component").drop("rep")
     rows = small.join(classes, ["d1", "d2"], "left")
     out = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
