@@ -1,13 +1,16 @@
 """Cross-entropy difference: matched target and background n-gram models.
 
-Both models are interpolated bigram models over one vocabulary: a word's id is its hash
-in 2^V unigram cells, a bigram's its hash in 2^B cells. Counts come from all documents (background) and
-from the target documents, collected by every task for all its rows in arrays and then summed by cell;
-they grow with the corpus until cells are full, while the models sent to the executors are bounded by the
-cell counts. A document's score is the mean per-token loss under the target model less that under the
+Both models are interpolated bigram models over one vocabulary: the words of the documents. A word's key is its hash
+(WORDS bits), a bigram's the hash of both words. Counts come from all documents (background) and
+from the target documents, summed by task, then by key, into a written table that grows with the number of distinct
+n-grams. A document's score is the mean per-token loss under the target model less that under the
 background model: the lower, the more it resembles the target.
 
-The models are matched: same cells, same smoothing, same interpolation; the target's
+Counts meet the documents by key. Only the `HOT_WORDS` words and `HOT_PAIRS` bigrams at most that are the most frequent
+are sent to the executors, so that no frequent key is shuffled; the bigrams of a document that need any other
+count are joined to the table. The result is the same whatever these bounds are.
+
+The models are matched: same vocabulary, same smoothing, same interpolation; the target's
 counts are part of the background's. Null texts and texts without words have 0 tokens
 and a null score. Without target rows all losses under the target are those of a uniform model.
 Repeated rows count each time. Extra columns are ignored.
@@ -15,6 +18,8 @@ Repeated rows count each time. Extra columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,94 +27,171 @@ from pyspark.sql import functions as F
 
 from .common import Hashes, Scratch, windows
 
-WORDS, PAIRS = 18, 20
+#: Bits of a key; a bigram's comes after all those of words.
+WORDS = 62
+HOT_WORDS, HOT_PAIRS = 1 << 18, 1 << 19
+#: Tokens handled at a time in a task.
+CHUNK = 500_000
 
 
 def cells(text: str | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word cells, and the cells of each word with its predecessor and of the predecessor alone (the first follows the start)."""
+    """Word keys, and the keys of each word with its predecessor and of the predecessor alone (the first follows the start)."""
     words = text.encode().lower().split() if text else []
     h = np.concatenate([[np.uint64(1)], hashes.of(words)]) if words else np.empty(0, np.uint64)
     word = (h >> np.uint64(64 - WORDS)).astype(np.int64)
-    pair = (windows(h, 2) >> np.uint64(64 - PAIRS)).astype(np.int64)
+    pair = (windows(h, 2) >> np.uint64(64 - WORDS)).astype(np.int64)
     return word[1:], pair, word[:-1]
 
 
 def counts(docs: DataFrame, text_col: str, target: Column) -> DataFrame:
     """(cell, target, background): summed counts; cell < 2^WORDS for words, the rest for bigrams."""
-    size = (1 << WORDS) + (1 << PAIRS)
+
+    def summed(held, mine):
+        cell, at = np.unique(np.concatenate(held), return_inverse=True)
+        own = np.repeat(mine, [len(h) for h in held])
+        sums = (np.bincount(at, own, len(cell)).astype(np.int64), np.bincount(at, minlength=len(cell)).astype(np.int64))
+        for s in range(0, len(cell), 200_000):
+            i = slice(s, s + 200_000)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[i]), pa.array(sums[0][i]), pa.array(sums[1][i])], ["cell", "target", "background"])
 
     def run(batches):
-        hashes = Hashes(seed=8)
-        sums = np.zeros((2, size), np.int64)
+        hashes, held, mine, size = Hashes(seed=8), [], [], 0
         for batch in batches:
-            spots: tuple[list, list] = ([], [])
-            for text, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 word, pair, _ = cells(text, hashes)
-                for side in (0, 1) if mine else (1,):
-                    spots[side].extend((word, pair + (1 << WORDS)))
-                if sum(map(len, spots[1])) > 2_000_000:
-                    _add(sums, spots)
-                    spots = ([], [])
-            _add(sums, spots)
-        at = np.flatnonzero(sums[1])
-        for s in range(0, len(at), 200_000):
-            i = at[s : s + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(sums[0][i]), pa.array(sums[1][i])], ["cell", "target", "background"])
+                held += [word, pair + (1 << WORDS)]
+                mine += [good, good]
+                size += 2 * len(word)
+                if size > 8 * CHUNK:
+                    yield from summed(held, mine)
+                    held, mine, size = [], [], 0
+        if size:
+            yield from summed(held, mine)
 
     made = docs.select(text_col, F.coalesce(target, F.lit(False)).alias("qs_target")).mapInArrow(run, "cell bigint, target bigint, background bigint")
     return made.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def _add(sums: np.ndarray, spots) -> None:
-    for side in (0, 1):
-        if spots[side]:
-            sums[side] += np.bincount(np.concatenate(spots[side]), minlength=sums.shape[1])
+@dataclass
+class Models:
+    """Counts by key, the number of distinct words, the tokens of target and background; the frequent keys' counts by rising key."""
 
+    table: DataFrame
+    vocabulary: int
+    tokens: tuple[int, int]
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray]
+    mix: float = 0.6
+    add: float = 0.5
 
-class Models:
-    """Log probabilities come from word[side], pair[side], both float32 arrays of counts."""
-
-    def __init__(self, cell: np.ndarray, target: np.ndarray, background: np.ndarray, mix: float = 0.6, add: float = 0.5):
-        n = 1 << WORDS
-        self.mix, self.word, self.pair, self.seen = mix, [], [], []
-        for held in (target, background):
-            full = np.zeros(n + (1 << PAIRS), np.float32)
-            full[cell] = held
-            self.word.append(((full[:n] + add) / (full[:n].sum(dtype=np.float64) + add * n)).astype(np.float32))
-            self.pair.append(full[n:])
-            self.seen.append(full[:n])
-
-    def losses(self, text: str | None, hashes: Hashes) -> tuple[int, float, float]:
-        """(tokens, mean loss under the target, under the background) in nats."""
-        word, pair, before = cells(text, hashes)
-        if not len(word):
-            return 0, 0.0, 0.0
-        out = []
-        for side in (0, 1):
-            context = self.seen[side][before]
-            share = np.divide(np.minimum(self.pair[side][pair], context), context, out=np.zeros(len(pair), np.float32), where=context > 0)
-            held = np.where(context > 0, self.mix, 0.0)
-            out.append(float(-np.log(held * share + (1 - held) * self.word[side][word]).mean()))
-        return len(word), out[0], out[1]
-
-
-def train(docs: DataFrame, target: Column, text_col: str = "text") -> Models:
+
+def train(docs: DataFrame, target: Column, text_col: str = "text", hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> Models:
     """Models from all rows; `target` marks the target's."""
-    frame = counts(docs, text_col, target).toArrow()  # at most 2^WORDS + 2^PAIRS rows
-    column = lambda name: frame.column(name).to_numpy()
-    return Models(column("cell").astype(np.int64), column("target"), column("background"))
+    scratch = Scratch(docs.sparkSession, "lm-counts")
+    table = scratch.keep(scratch.save(counts(docs, text_col, target), "counts"))
+    of_pair = F.col("cell") >= F.lit(1 << WORDS)
+    level = F.floor(8 * F.log2("background"))  # some hundreds of levels at most
+    sizes = table.groupBy(of_pair.alias("of_pair"), level.alias("level")).agg(F.count("*").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background")).collect()
+    words = [r for r in sizes if not r["of_pair"]]
+
+    def least(rows, most):
+        """The least level from which on there are no more than `most` keys."""
+        found = 1 << 30
+        for r in sorted(rows, key=lambda r: -r["level"]):
+            most -= r["n"]
+            if most < 0:
+                break
+            found = r["level"]
+        return found
+
+    bounds = [least(words, hot_words), least([r for r in sizes if r["of_pair"]], hot_pairs)]
+    hot = table.where(level >= F.when(of_pair, bounds[1]).otherwise(bounds[0])).toArrow()  # at most hot_words + hot_pairs rows
+    at = np.argsort(hot.column("cell").to_numpy())
+    hot = tuple(hot.column(c).to_numpy()[at] for c in ("cell", "target", "background"))
+    return Models(table, sum(r["n"] for r in words), (sum(r["target"] for r in words), sum(r["background"] for r in words)), hot)
+
+
+def _lookup(hot, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether keys are among the frequent ones, and their counts."""
+    cell, target, background = hot
+    if not len(cell):
+        return np.zeros(len(key), bool), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+    at = np.minimum(np.searchsorted(cell, key), len(cell) - 1)
+    known = cell[at] == key
+    return known, np.where(known, target[at], 0), np.where(known, background[at], 0)
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, loss_target, loss_background, score) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    sent = spark.sparkContext.broadcast(models.hot)
+    mix, add, tokens, size = models.mix, models.add, models.tokens, models.vocabulary + 1  # one for words never seen
+    scratch = Scratch(spark, "lm-scores")
+    names = ["id", "uid", "n", "pair", "word", "prev", "wt", "wb", "pt", "pb", "lt", "lb"]
+
+    def loss(pair, prev, word, total):
+        held = np.where(prev > 0, mix, 0.0)
+        share = np.divide(pair, prev, out=np.zeros(len(pair)), where=prev > 0)
+        return -np.log(held * share + (1 - held) * (word + add) / (total + add * size))
+
+    def made(ids, uids, parts, arrow_id):
+        """A row for each document with what the frequent keys settle, and one for each of its other bigrams."""
+        lens = np.array([len(p[0]) for p in parts])
+        word, pair, prev = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        pair = pair + (1 << WORDS)
+        doc = np.repeat(np.arange(len(lens)), lens)
+        first = np.zeros(len(doc), bool)
+        first[(np.cumsum(lens) - lens)[lens > 0]] = True
+        word_known, wt, wb = _lookup(sent.value, word)
+        prev_known, pt, pb = (np.where(first, b, np.roll(a, 1)) if len(a) else a for a, b in ((word_known, True), (wt, 0), (wb, 0)))
+        pair_known, ct, cb = _lookup(sent.value, pair)
+        # the start is no word and has no counts: a first word's loss needs its own count only
+        done = word_known & (first | (prev_known & pair_known))
+        sums = [np.bincount(doc[done], loss(c[done], p[done], w[done], n), len(lens)).astype(float) for c, p, w, n in ((ct, pt, wt, tokens[0]), (cb, pb, wb, tokens[1]))]
+        none = lambda n, t=pa.int64(): pa.nulls(n, t)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(uids), pa.array(lens), *[none(len(lens))] * 7, pa.array(sums[0]), pa.array(sums[1])], names)
+        at = np.flatnonzero(~done)
+        at = at[np.lexsort((pair[at], doc[at], first[at]))]
+        new = np.ones(len(at), bool)
+        new[1:] = (pair[at][1:] != pair[at][:-1]) | (doc[at][1:] != doc[at][:-1]) | (first[at][1:] != first[at][:-1])
+        n = np.diff(np.append(np.flatnonzero(new), len(at)))
+        at = at[new]
+        for s in range(0, len(at), 100_000):
+            i = at[s : s + 100_000]
+            column = lambda x, gone=None: pa.array(x[i], mask=None if gone is None else gone[i])
+            yield pa.RecordBatch.from_arrays([none(len(i), arrow_id), pa.array(uids[doc[i]]), pa.array(n[s : s + 100_000]), column(pair), column(word, word_known), column(prev, prev_known), column(wt), column(wb), column(pt), column(pb), *[none(len(i), pa.float64())] * 2], names)
 
     def run(batches):
         hashes = Hashes(seed=8)
         for batch in batches:
-            got = [sent.value.losses(t, hashes) for t in batch.column(1).to_pylist()]
-            pick = lambda f: pa.array([f(g) if g[0] else None for g in got], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.int64()), pick(lambda g: g[1]), pick(lambda g: g[2]), pick(lambda g: g[1] - g[2])], ["id", "n_tokens", "loss_target", "loss_background", "score"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, loss_target double, loss_background double, score double").withColumnRenamed("id", id_col)
+            uids, start, parts, held = batch.column(2).to_numpy(), 0, [], 0
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                parts.append(cells(text, hashes))
+                held += len(parts[-1][0])
+                if held > CHUNK or k == batch.num_rows - 1:
+                    yield from made(batch.column(0).slice(start, k + 1 - start), uids[start : k + 1], parts, batch.column(0).type)
+                    start, parts, held = k + 1, [], 0
+
+    # the numbers hold within the written table, where a document's rows all come from one task
+    rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("uid"))
+    rows = scratch.save(rows.mapInArrow(run, f"id {kind}, uid bigint, n bigint, pair bigint, word bigint, prev bigint, wt bigint, wb bigint, pt bigint, pb bigint, lt double, lb double"), "rows")
+    base, rest = rows.where("pair IS NULL").select("uid", "id", F.col("n").alias("n_tokens"), F.col("lt").alias("base_t"), F.col("lb").alias("base_b")), rows.where("pair IS NOT NULL").drop("id", "lt", "lb")
+    table = models.table.select(F.col("cell").alias("qs_cell"), F.col("target").alias("qs_t"), F.col("background").alias("qs_b"))
+
+    def fill(frame, key, t, b):
+        got = frame.drop(t, b).join(table.where(F.col("qs_cell") < F.lit(1 << WORDS)), F.col(key) == F.col("qs_cell"), "left")
+        return got.withColumns({t: F.coalesce("qs_t", F.lit(0)), b: F.coalesce("qs_b", F.lit(0))}).drop("qs_cell", "qs_t", "qs_b")
+
+    word, prev = F.col("word").isNotNull(), F.col("prev").isNotNull()
+    both = fill(fill(rest.where(word & prev), "word", "wt", "wb"), "prev", "pt", "pb")
+    rest = rest.where(~word & ~prev).unionByName(fill(rest.where(word & ~prev), "word", "wt", "wb")).unionByName(fill(rest.where(~word & prev), "prev", "pt", "pb")).unionByName(both)
+    rest = rest.select("uid", "n", "pair", "wt", "wb", "pt", "pb").join(table.where(F.col("qs_cell") >= F.lit(1 << WORDS)), F.col("pair") == F.col("qs_cell"), "left")
+
+    def side(count, before, own, total):
+        held = F.when(F.col(before) > 0, F.lit(mix) * F.coalesce(count, F.lit(0)) / F.col(before)).otherwise(0.0)
+        left = F.when(F.col(before) > 0, 1 - mix).otherwise(1.0)
+        return F.sum(-F.col("n") * F.log(held + left * (F.col(own) + add) / (total + add * size)))
+
+    tail = rest.groupBy("uid").agg(side("qs_t", "pt", "wt", tokens[0]).alias("rest_t"), side("qs_b", "pb", "wb", tokens[1]).alias("rest_b"))
+    mean = lambda a, b: F.when(F.col("n_tokens") > 0, (F.col(a) + F.coalesce(b, F.lit(0.0))) / F.col("n_tokens"))
+    out = base.join(tail, "uid", "left").select(F.col("id").alias(id_col), "n_tokens", mean("base_t", "rest_t").alias("loss_target"), mean("base_b", "rest_b").alias("loss_background"))
+    return scratch.keep(out.withColumn("score", F.col("loss_target") - F.col("loss_background")))

@@ -370,6 +370,31 @@ def test_lm_scores(spark):
     assert lm_scoring.score(docs, none).count() == 68 and lm_scoring.score(empty(spark), models).count() == 0
 
 
+@pytest.mark.parametrize("hot", [(1 << 18, 1 << 19), (40, 60), (0, 0)])
+def test_lm_scores_are_those_of_real_ngrams(spark, hot):
+    """Far more words than cells of any fixed table hold without clashes; hot keys or not must not matter."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(WORDS) if r.random() < 0.5 else f"w{r.randrange(400_000)}" for _ in range(r.randint(1, 400))) for _ in range(1500)] + EDGES + [prose(1, 50)] * 3
+    good = lambda i: i % 3 == 0
+    docs = docs_of(spark, texts).withColumn("good", F.col("doc_id") % 3 == 0)
+    models = lm_scoring.train(docs, F.col("good"), hot_words=hot[0], hot_pairs=hot[1])
+    got = {x["doc_id"]: x for x in lm_scoring.score(docs, models).collect()}
+    split = [(t or "").encode().lower().split() for t in texts]
+    word, pair = ([collections.Counter(), collections.Counter()] for _ in range(2))
+    for i, w in enumerate(split):
+        for side in (0, 1) if good(i) else (1,):
+            word[side].update(w)
+            pair[side].update(zip(w, w[1:]))
+    size = len(word[1]) + 1
+    assert models.vocabulary == len(word[1]) > 100_000
+    for i, w in enumerate(split):
+        assert got[i]["n_tokens"] == len(w)
+        for side, name in enumerate(("loss_target", "loss_background")):
+            n, total = word[side], sum(word[side].values())
+            p = [(1 - 0.6 * (before is not None and n[before] > 0)) * (n[x] + 0.5) / (total + 0.5 * size) + (0.6 * pair[side][before, x] / n[before] if before is not None and n[before] else 0) for before, x in zip([None, *w], w)]
+            assert got[i][name] == (pytest.approx(-np.log(p).mean()) if w else None)
+
+
 # 9 secrets
 
 PLANTED = """password = "hunter2hunter2"
