@@ -101,10 +101,24 @@ def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, id_col: str
     return model.transform(ready).select(id_col, "embedding", F.col("prediction").alias("cluster_id")), centres
 
 
+def with_radius(assigned: DataFrame, centres: DataFrame, label: str = "cluster_id") -> DataFrame:
+    """Centres with `radius`, the widest angle between a centre and its rows; null for clusters without rows."""
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), vec_cosine(F.col("embedding"), F.col("centroid")))))
+    widest = assigned.join(F.broadcast(centres.select(label, "centroid")), label).groupBy(label).agg(F.max(angle).alias("radius"))
+    return centres.join(widest, label, "left")
+
+
 def probe(assigned: DataFrame, centres: DataFrame, query, k: int = 10, probes: int = 3, id_col: str = "object_id", label: str = "cluster_id") -> DataFrame:
-    """Top k of the rows in the `probes` clusters nearest to the query. There are far fewer clusters than rows."""
-    near = centres.select(label, vec_cosine(F.col("centroid"), query).alias("s")).orderBy(F.desc("s"), label).limit(probes).select(label)
-    return top_k(assigned.join(near, label, "left_semi"), query, k, id_col=id_col)
+    """Top k of all rows, exact. The `probes` clusters nearest to the query give k first rows; then each cluster that can hold
+    a row as similar as the last of them is read: angles obey the triangle inequality, so no row of a cluster is nearer
+    to the query than its centre is, less its radius. There are far fewer clusters than rows; a column `radius` in `centres` saves a pass."""
+    centres = centres if "radius" in centres.columns else with_radius(assigned, centres, label)
+    cosine = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), vec_cosine(F.col("centroid"), query)))
+    held = centres.where("radius IS NOT NULL").select(label, cosine.alias("s"), F.cos(F.greatest(F.lit(0.0), F.acos(cosine) - F.col("radius"))).alias("most")).orderBy(F.desc("s"), label).collect()
+    first = top_k(assigned.where(F.col(label).isin([r[label] for r in held[:probes]])), query, k, id_col=id_col).collect()
+    least = first[-1]["similarity"] if len(first) == k and k else None
+    wanted = [r[label] for i, r in enumerate(held) if i < probes or least is None or r["most"] is None or r["most"] >= least - 1e-6]
+    return top_k(assigned.where(F.col(label).isin(wanted)), query, k, id_col=id_col)
 
 
 def lsh_neighbours(vectors: DataFrame, query, k: int = 10, bucket: float = 0.8, tables: int = 12, seed: int = 42, id_col: str = "object_id") -> DataFrame:
@@ -133,4 +147,4 @@ def get_vector(vectors: DataFrame, object_id: str) -> DataFrame:
     return vectors.where(F.col("object_id") == object_id)
 
 
-__all__ = ["as_column", "arrow_top_k", "auto_clusters", "batch_top_k", "centroids", "fitted", "get_vector", "hybrid", "kmeans", "lsh_neighbours", "merge_best", "multi_term", "pairwise", "probe", "top_k", "upsert_vectors"]
+__all__ = ["as_column", "arrow_top_k", "auto_clusters", "batch_top_k", "centroids", "fitted", "get_vector", "hybrid", "kmeans", "lsh_neighbours", "merge_best", "multi_term", "pairwise", "probe", "top_k", "upsert_vectors", "with_radius"]

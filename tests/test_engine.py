@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,19 @@ def test_predicates_are_three_valued(spark):
     assert ids(("a", ">", 1)) == [1] and ids(("a", "<=", 0)) == [4] and ids(("a", "!=", "5")) == [2, 4, 5]
     assert ids(("a", "in", ["5", "x"])) == [1, 2] and ids(("a", "is null", None)) == [3] and ids(("a", "between", (0, 5))) == [1, 4]
     assert ids(("a", "like", "%x")) == [2] and ids(("id", ">=", 4), ("a", "contains", "")) == [4, 5]
+
+
+@pytest.mark.parametrize("spread", [0.2, 1.0])
+def test_ivf_probe_finds_all_neighbours(spark, spread):
+    """Recall against brute force, with tight clusters and with none; a zero vector and an empty index too."""
+    r = np.random.default_rng(4)
+    m = r.normal(size=(20, 16))[r.integers(0, 20, 600)] * (1 - spread) + r.normal(size=(600, 16)) * spread
+    m[7] = 0
+    v = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(m)], "object_id long, embedding array<double>").cache()
+    assigned, centres = search.kmeans(v, 40)
+    assigned, centres = assigned.cache(), search.with_radius(assigned, centres).cache()
+    for q in (0, 20, 40, 60, 80):
+        query = [float(x) for x in m[q]]
+        want = [x["object_id"] for x in search.top_k(v, query, 10).collect()]
+        assert [x["object_id"] for x in search.probe(assigned, centres, query, 10).collect()] == want
+    assert search.probe(assigned.limit(0), centres, query, 10).count() == 0
