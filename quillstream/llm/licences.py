@@ -74,15 +74,16 @@ def canonical(text: Column) -> Column:
     return F.trim(text)
 
 
-def known_digests() -> dict[str, str]:
-    return {hashlib.sha256(canonical_text(text).encode()).hexdigest(): spdx for spdx, text in KNOWN}
+def known_digests(licences=KNOWN) -> dict[str, str]:
+    return {hashlib.sha256(canonical_text(text).encode()).hexdigest(): spdx for spdx, text in licences}
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, license, notices) for every row: the whole text's licence or null, and its notices' ids, sorted, distinct."""
-    known = F.broadcast(df.sparkSession.createDataFrame(list(known_digests().items()), "qs_digest string, qs_spdx string"))
-    names = F.create_map(*[F.lit(x) for pair in known_digests().items() for x in pair])
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: F.lower(x).contains("licen") & (F.length(x) <= 300))
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences=KNOWN) -> DataFrame:
+    """(id, digest, license, notices) for every row: the whole text's licence or null, and its notices' ids, sorted, distinct. `licences`: (SPDX id, text) of all known texts."""
+    digests = known_digests(licences)
+    known = F.broadcast(df.sparkSession.createDataFrame(list(digests.items()), "qs_digest string, qs_spdx string"))
+    names = F.create_map(*[F.lit(x) for pair in digests.items() for x in pair])
+    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: F.lower(x).contains("licen"))
     found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.element_at(names, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())))
     digest = F.sha2(F.nullif(canonical(F.col(text_col)), F.lit("")), 256)
     rows = df.select(F.col(id_col), digest.alias("digest"), F.coalesce(found, F.array().cast("array<string>")).alias("notices"))

@@ -52,6 +52,19 @@ def test_licences(spark):
     assert all(r["f"] == licences.canonical_text(r["text"]) for r in forms if r["text"] is not None)
 
 
+def test_licences_on_long_lines_and_of_other_tables(spark):
+    """A whole licence folded to one line of a longer text, a padded notice, and licences that the caller names."""
+    mit = licences.KNOWN[0][1].replace("\n", " ")
+    padded = "// " + "=" * 400 + " Licensed under the MIT License. " + "*" * 400
+    house = "House Licence: anyone may read this text. " + prose(4, 400)
+    texts = ["Intro\n" + mit + "\nMore words", padded + "\nx", house, "A\n" + house + "\nB"]
+    assert len(mit) > 900
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licences.scan(docs_of(spark, texts)).collect()}
+    assert got == {0: (None, "MIT"), 1: (None, "MIT"), 2: (None, ""), 3: (None, "")}
+    got = {r["doc_id"]: (r["license"], r["notices"]) for r in licences.scan(docs_of(spark, texts), licences=(*licences.KNOWN, ("House", house))).collect()}
+    assert got == {0: (None, "MIT"), 1: (None, "MIT"), 2: ("House", "House"), 3: (None, "House")}
+
+
 # 2 toxicity
 
 
