@@ -3,7 +3,8 @@
 Every text is first matched against three base patterns. Texts that hold a `:` or
 `=` are then lexed, line by line, into name-literal pairs (`name = "x"`,
 `name: x`, `"name" => 'x'`). String constants are propagated through later
-right-hand sides, including concatenation with `+`, and a value reaching a
+right-hand sides, including concatenation with `+`; an unquoted value is one run of letters, digits
+and `+/_.=~-` unless all its parts between `+` are known names. A value reaching a
 sensitive name is scored by that name and by the value's length and entropy. All
 literals that the value is made of are reported, wherever they stand.
 
@@ -35,6 +36,8 @@ TOKEN = re.compile(
     r"""|(?P<bare>[A-Za-z0-9/_.~-][A-Za-z0-9+/_.=~-]*)"""
     r"""|(?P<space>[^\S\n]+)|(?P<other>.)"""
 )
+#: An unquoted value after an assignment.
+RUN = re.compile(r"[A-Za-z0-9+/_.=~-]+")
 #: Parts of a name that make it sensitive, and how much.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 0.9, "token": 0.8, "apikey": 0.9, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "private": 0.5, "access": 0.4, "api": 0.4, "key": 0.5}
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|<.*>|\$\{.*\}|%.*%|your.*|change.?me|example.*|dummy|none|null|true|false|todo|test)$")
@@ -88,6 +91,16 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                 continue
             name = word.strip("\"'")
             value, spans, j, whole = "", [], i + 2, True
+            run = RUN.match(line, toks[j][2] - begin)
+            if run and run.end() > toks[j][3] - begin:  # longer than its first token
+                after = next((n for n in range(j, len(toks)) if toks[n][2] - begin >= run.end()), len(toks))
+                joined = line[run.end() : run.end() + 1] in ("'", '"') or after < len(toks) and toks[after][1] == "+"
+                if not joined and not all(part in known for part in run.group().split("+")):
+                    value, spans = run.group(), [(begin + run.start(), begin + run.end())]
+                    known[name] = (value, spans)
+                    yield name, value, spans
+                    i = after
+                    continue
             while j < len(toks):
                 k, w, s, e = toks[j]
                 if k == "str":

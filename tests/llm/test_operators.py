@@ -451,6 +451,14 @@ def test_secret_base_spans_follow_the_rule(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
 
 
+def test_unquoted_values_are_whole():
+    values = {"aws_secret_access_key = ": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "signing_private_key: ": "Zm9/qwertyuiop12345", "client_secret_key: ": "aB3+xYz9Qw7rTy2Lp0", "db_secret_key=": "+bC4dEfGh8iJkLmN0=="}
+    text = "\n".join(k + v for k, v in values.items())
+    assert [text[s:e] for kind, s, e, *_ in secrets.scan_text(text) if kind == "literal"] == list(values.values())
+    joined = 'part = "Zx81kLmN"\nrest = "q7Tr99Bv"\ndb_secret_key = part+rest\nmy_secret_key = part+"w5Kp22Hd"'
+    assert {"Zx81kLmN", "q7Tr99Bv", "w5Kp22Hd"} == {joined[s:e] for kind, s, e, *_ in secrets.scan_text(joined) if kind == "literal"}
+
+
 # 10 line dedup
 
 
