@@ -13,6 +13,9 @@ The benchmark is a stated query set. Its windows are indexed in blocks of at mos
 `block_windows` windows (each sent to the executors), and the documents are
 read once for each block; a benchmark of usual size is one block.
 
+Windows count only if `literals` of their tokens (all, if they are shorter) are no placeholders. Items without
+such a window are found by windows of their own words instead, so only as they stand, apart from case and punctuation at the ends of words.
+
 Null and empty texts, on either side, match nothing. Items shorter than the window are one
 window of their own length. Repeated rows give repeated results. Extra columns are kept.
 """
@@ -105,27 +108,28 @@ class Index:
         vocabulary = Vocabulary()
         self.width, self.literals = width, literals
         self.ids, self.parts, self.total = [], [], []
-        hashes: dict[int, list[np.ndarray]] = defaultdict(list)
+        hashes: dict[tuple[int, bool], list[np.ndarray]] = defaultdict(list)
         for item, text in items:
             h, slot, filler = tokens(text, vocabulary)
             if not len(h):
                 continue
             w = min(width, len(h))
             win, ok = windows(h, w), self.telling(slot, w)
-            if not ok.any():
-                continue
+            raw = not ok.any()
+            if raw:
+                win, ok = windows(filler, w), np.ones(len(win), bool)
             at, i = np.flatnonzero(ok), len(self.ids)
             self.ids.append(item)
             self.parts.append((slot, filler))
             self.total.append(len(at))
-            hashes[w].append(np.stack([win[at], np.full(len(at), i, np.uint64), at.astype(np.uint64)]))
+            hashes[w, raw].append(np.stack([win[at], np.full(len(at), i, np.uint64), at.astype(np.uint64)]))
         self.tables = {}
-        for w, held in hashes.items():
+        for (w, raw), held in hashes.items():
             rows = np.concatenate(held, axis=1)
             rows = rows[:, np.argsort(rows[0], kind="stable")]
             seen = np.zeros(1 << 16, bool)
             seen[(rows[0] >> np.uint64(48)).astype(np.int64)] = True
-            self.tables[w] = (rows[0], rows[1].astype(np.int64), rows[2].astype(np.int64), seen)
+            self.tables[w, raw] = (rows[0], rows[1].astype(np.int64), rows[2].astype(np.int64), seen)
 
     def telling(self, slot: np.ndarray, w: int) -> np.ndarray:
         """Windows with enough words that are no placeholders."""
@@ -136,8 +140,8 @@ class Index:
         """(item, coverage, exact) of the items in a text."""
         h, slot, filler = tokens(text, vocabulary)
         hits: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for w, (keys, items, places, seen) in self.tables.items():
-            win = windows(h, w)
+        for (w, raw), (keys, items, places, seen) in self.tables.items():
+            win = windows(filler if raw else h, w)
             near = np.flatnonzero(seen[(win >> np.uint64(48)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, win[near], "left"), np.searchsorted(keys, win[near], "right")
             for at, a, b in zip(near[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):

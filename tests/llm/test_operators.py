@@ -211,6 +211,14 @@ def test_decontamination(spark):
     assert decontaminate.find_items(docs, bench.limit(0)).where(F.size("qs_items") > 0).count() == 0
 
 
+def test_items_of_placeholders_are_found_as_they_stand(spark):
+    items = ["Paris London Rome Berlin Madrid Oslo", "Alice Bob 3 kg 5 kg 7 kg", "Barack Obama"]
+    texts = [*(f"{prose(i, 30)} {item} {prose(9 + i, 30)}" for i, item in enumerate(items)), "the Bonn Lyon Turin Bremen Sevilla Bergen", "so Carol Dave 4 kg 6 kg 8 kg", "and Angela Merkel", None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["exact"]) for r in decontaminate.report(decontaminate.find_items(docs_of(spark, texts), bench)).collect()}
+    assert got == {i: (str(i), 1) if i < 3 else ("", 0) for i in range(8)}
+
+
 # 6 n-gram Jaccard join
 
 
