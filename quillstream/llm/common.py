@@ -9,8 +9,9 @@ import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word rule of the contracts: runs of anything but space and \x09-\x0D. bytes.split() splits on exactly these bytes.
@@ -125,9 +126,40 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
         return mix(out)
 
 
+class Bitmap:
+    """Which 64-bit hashes may be among those of some rows: two bits each in a bitmap of at most 2^27 bits, sent to the executors. No false negatives."""
+
+    def __init__(self, rows: DataFrame, key: Column, scratch: Scratch, most: int = 27):
+        held = scratch.save(rows.select(key.alias("key")), f"bitmap-{uuid.uuid4().hex}")
+        self.bits = max(16, min(most, (16 * held.count()).bit_length()))
+        high, low = F.shiftrightunsigned("key", 64 - self.bits), F.col("key").bitwiseAND((1 << self.bits) - 1)
+        spots = held.select(F.explode(F.array(high + 1, low + 1)).alias("spot"))  # these functions count from 1
+        made = spots.groupBy(F.bitmap_bucket_number("spot").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+        flat = np.zeros(1 << (self.bits - 3), np.uint8)
+        for row in made.toLocalIterator():  # 2^(bits - 15) rows of 4 KB at most
+            part = np.frombuffer(row["bits"], np.uint8)
+            flat[(row["at"] - 1) * 4096 :][: len(part)] = part[: max(0, len(flat) - (row["at"] - 1) * 4096)]
+        self.sent = scratch.spark.sparkContext.broadcast(flat)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        held, out = self.sent.value, np.ones(len(keys), bool)
+        for spot in (keys.view(np.uint64) >> np.uint64(64 - self.bits), keys.view(np.uint64) & np.uint64((1 << self.bits) - 1)):
+            out &= (held[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+    def keep(self, df: DataFrame, key: Column) -> DataFrame:
+        """The rows whose key may be among them."""
+
+        def run(batches):
+            for batch in batches:
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(self.has(batch.column(batch.num_columns - 1).to_numpy())))
+
+        return df.withColumn("qs_key", key).mapInArrow(run, df.schema)
+
+
 def crc_mod(col: str, mod: int):
-    """crc32 of the id's text, modulo `mod`."""
-    return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod))
+    """crc32 of the id's text, modulo `mod`. A null id has the empty text's."""
+    return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
