@@ -23,13 +23,31 @@ def with_versions(log: DataFrame) -> DataFrame:
     return log.withColumn("version", F.row_number().over(Window.partitionBy("object_id").orderBy(*ORDER)).cast("long"))
 
 
-def renumber(log: DataFrame) -> DataFrame:
-    """Dense global numbers in time order, by ranges of time: no task sees all rows."""
-    spread = log.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    counts = spread.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    return spread.join(F.broadcast(before), "_part").withColumn("global_number", F.col("_before") + place).drop("_part", "_at", "_before")
+#: Sequence numbers of a block; events of one instant are numbered block by block.
+NUMBERS = 1 << 16
+
+
+def renumber(log: DataFrame, numbers: int = NUMBERS) -> DataFrame:
+    """Dense global numbers in time order: counts of hours, of their seconds and of the instants' blocks of sequence numbers give where each block begins.
+
+    All of these are columns of the event itself, so every plan that reads the log agrees on them, and a block holds `numbers` events at most.
+    """
+    ts, number = ORDER
+    keyed = log.withColumn("_block", F.floor(F.col(number) / numbers))
+    blocks = keyed.groupBy(ts, "_block").agg(F.count("*").alias("_n")).withColumns({"_second": F.date_trunc("second", ts), "_hour": F.date_trunc("hour", ts)})
+
+    def before(of: list[str], *by: str) -> Column:
+        window = Window.partitionBy(*of).orderBy(*by) if of else Window.partitionBy(F.lit(0)).orderBy(*by)  # a row for each hour
+        return F.coalesce(F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    seconds = blocks.groupBy("_hour", "_second").agg(F.sum("_n").alias("_n"))
+    hours = seconds.groupBy("_hour").agg(F.sum("_n").alias("_n")).select(F.col("_hour").alias("_h"), before([], "_hour").alias("_low"))
+    seconds = seconds.select("_hour", F.col("_second").alias("_s"), before(["_hour"], "_second").alias("_mid")).join(hours, F.col("_hour").eqNullSafe(F.col("_h")))
+    starts = blocks.select(F.col(ts).alias("_ts"), F.col("_block").alias("_b"), "_second", before(["_second"], ts, "_block").alias("_high")).join(seconds, F.col("_second").eqNullSafe(F.col("_s")))
+    starts = starts.select("_ts", "_b", (F.col("_low") + F.col("_mid") + F.col("_high")).alias("_start"))
+    placed = keyed.withColumn("_place", F.row_number().over(Window.partitionBy(ts, "_block").orderBy(number)))
+    placed = placed.join(starts, F.col(ts).eqNullSafe(F.col("_ts")) & F.col("_block").eqNullSafe(F.col("_b")))
+    return placed.withColumn("global_number", F.col("_start") + F.col("_place")).select(*log.columns, "global_number")
 
 
 def latest(log: DataFrame) -> DataFrame:

@@ -137,3 +137,24 @@ def test_ivf_probe_finds_all_neighbours(spark, spread):
         want = [x["object_id"] for x in search.top_k(v, query, 10).collect()]
         assert [x["object_id"] for x in search.probe(assigned, centres, query, 10).collect()] == want
     assert search.probe(assigned.limit(0), centres, query, 10).count() == 0
+
+
+def test_global_numbers_whatever_the_partitions(spark, tmp_path):
+    """Six files, coalescing on and off, many events of one second, blocks of few and of many numbers."""
+    from pyspark.sql import Window
+
+    log = spark.range(5000).selectExpr("id AS event_id", "id AS sequence_number", "CASE WHEN id % 3 = 0 THEN timestamp'2024-01-05 00:00:01' ELSE timestamp'2024-01-01' + make_interval(0, 0, 0, id % 9, 0, 0, pmod(xxhash64(id), 5000000) / 1000) END AS ts")
+    log.unionByName(spark.sql("SELECT 9999L AS event_id, 9999L AS sequence_number, CAST(NULL AS TIMESTAMP) AS ts")).repartition(6).write.parquet(f"{tmp_path}/log")
+    log = spark.read.parquet(f"{tmp_path}/log")
+    want = {(r[0], r[1]) for r in log.select("event_id", F.row_number().over(Window.orderBy("ts", "sequence_number"))).collect()}
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for coalesce in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+            for numbers in (7, events.NUMBERS):
+                got = events.renumber(log, numbers)
+                assert got.columns == ["event_id", "sequence_number", "ts", "global_number"]
+                assert {(r["event_id"], r["global_number"]) for r in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert events.renumber(log.limit(0)).count() == 0
