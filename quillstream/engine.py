@@ -6,7 +6,7 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import embedding, events, storage
@@ -77,6 +77,7 @@ class Engine:
     # -- reading
 
     def events(self) -> DataFrame:
+        self._settle()
         try:
             return self.spark.read.schema(LOG).parquet(f"{self.path}/events")
         except Exception as e:
@@ -85,12 +86,14 @@ class Engine:
             return self.spark.createDataFrame([], LOG)
 
     def current(self, at: dt.datetime | None = None) -> DataFrame:
-        """Objects now, or as of a time: every object's events folded in order."""
+        """Objects now, or as of a time: every object's events after its last DELETE folded in order."""
         log = self.events().where(F.col("ts") <= F.lit(at)) if at else self.events()
+        erased = F.max(F.when(F.col("event_type") == "DELETE", F.col("sequence_number"))).over(Window.partitionBy("object_id"))
+        log = log.withColumn("live", F.coalesce(F.col("sequence_number") > erased, F.lit(True)))
         size = F.coalesce(F.octet_length(F.encode("text", "UTF-8")), F.lit(0))
         empty_map, empty_tags = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
         event = F.struct("sequence_number", "event_type", "ts", "type", "text", F.map_entries(F.coalesce("metadata", empty_map)).alias("entries"), F.coalesce("tags", empty_tags).alias("tags"), size.alias("size"))
-        grouped = log.groupBy("object_id").agg(F.array_sort(F.collect_list(event)).alias("events"), F.count("*").alias("version"))
+        grouped = log.groupBy("object_id").agg(F.array_sort(F.collect_list(F.when(F.col("live"), event))).alias("events"), F.count("*").alias("version")).where(F.size("events") > 0)
         blank = F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("text"), empty_map.alias("metadata"), empty_tags.alias("tags"), F.lit(0).alias("size"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit(False).alias("live"))
 
         def step(s, e):
@@ -149,16 +152,35 @@ class Engine:
     # -- upkeep
 
     def compact(self, files: int = 1) -> None:
-        """The log rewritten into few files, beside it, then put in its place."""
-        log = self.events().repartitionByRange(files, "sequence_number").sortWithinPartitions("sequence_number")
-        log.write.mode("overwrite").parquet(f"{self.path}/events.compact")
-        self.spark.read.parquet(f"{self.path}/events.compact").write.mode("overwrite").parquet(f"{self.path}/events")
+        """The log rewritten into about `files` files of ranges of its numbers, beside it, then put in its place by renaming."""
+        self._replace(self.events().repartitionByRange(files, "sequence_number").sortWithinPartitions("sequence_number"))
+
+    def _folder(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _replace(self, log: DataFrame) -> None:
+        """A failure at any point leaves the old log, or the new one whole."""
+        log.write.mode("overwrite").parquet(f"{self.path}/events.new")
+        fs, old = self._folder("events")
+        if fs.exists(old):
+            fs.rename(old, self._folder("events.old")[1])
+        self._settle()
+
+    def _settle(self) -> None:
+        """Ends a replacement: the old log is set aside only once the new one is complete, so the new one takes its place."""
+        fs, log = self._folder("events")
+        aside, new = self._folder("events.old")[1], self._folder("events.new")[1]
+        if not fs.exists(log) and fs.exists(self._folder("events.new/_SUCCESS")[1]):
+            fs.rename(new, log)
+        if fs.exists(log) and fs.exists(aside):
+            fs.delete(aside, True)
 
     def backup(self, path: str) -> bool:
         self.events().write.mode("overwrite").parquet(f"{path}/events")
         return True
 
     def restore(self, path: str) -> bool:
-        self.spark.read.schema(LOG).parquet(f"{path}/events").write.mode("overwrite").parquet(f"{self.path}/events")
+        self._replace(self.spark.read.schema(LOG).parquet(f"{path}/events"))
         self._next = None
         return True

@@ -55,17 +55,29 @@ def tag_index(nodes: DataFrame) -> DataFrame:
 def traverse(edges: DataFrame, start: str, max_depth: int = 2, legacy_depth: bool = False) -> DataFrame:
     """(src, dst, depth): the out-edges of all nodes within max_depth - 1 hops, breadth first.
 
-    The frontier is joined to the edges once per hop, and nodes seen before are dropped, so cycles end.
+    The frontier is joined to the edges once per hop, and nodes seen before are dropped, so cycles end. Each hop's
+    edges and new nodes are tables in the shared folder, so no hop is worked out twice.
     legacy_depth expands one hop further.
     """
+    import uuid
+
     spark = edges.sparkSession
+    root = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
     hops = max_depth + 1 if legacy_depth else max_depth
     seen = spark.createDataFrame([(start, 0)], "node string, depth int")
     frontier, found = seen, None
     for depth in range(hops):
         out = edges.join(F.broadcast(frontier) if depth == 0 else frontier, F.col("src") == F.col("node"), "inner").select(*edges.columns, F.lit(depth).alias("depth"))
+        out = saved(out, f"edges-{depth}")
         found = out if found is None else found.unionByName(out)
-        fresh = out.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth + 1))
+        if depth + 1 == hops:
+            break
+        fresh = saved(out.select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth + 1)), f"nodes-{depth}")
         seen, frontier = seen.unionByName(fresh), fresh
     return found if found is not None else edges.withColumn("depth", F.lit(0)).limit(0)
 

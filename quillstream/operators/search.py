@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import as_column, fit_dim, vec_angular_similarity, vec_cosine, vec_dot
 
 SCORES = {"cosine": vec_cosine, "dot": vec_dot, "angular": vec_angular_similarity}
-BROADCAST_QUERIES = 10_000
+BLOCK_QUERIES = 5_000
 
 
 def top_k(vectors: DataFrame, query, k: int = 10, threshold: float | None = None, metric: str = "cosine", id_col: str = "object_id") -> DataFrame:
@@ -25,11 +25,16 @@ def top_k(vectors: DataFrame, query, k: int = 10, threshold: float | None = None
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, threshold: float | None = None, id_col: str = "object_id") -> DataFrame:
     """(query_id, id, similarity): the k best of every query row (query_id, query).
 
-    Queries are a stated set. Up to BROADCAST_QUERIES they are sent to every task; beyond, vectors
-    and queries meet in blocks. Only each task's k best of a query are shuffled.
+    Queries are a stated set. They are sent to every task in blocks of about BLOCK_QUERIES, and the vectors are read
+    once for each block. Only each task's k best of a query are shuffled.
     """
-    small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    met = F.broadcast(queries).crossJoin(vectors) if small else queries.hint("shuffle_replicate_nl").crossJoin(vectors)
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, [_block_top_k(vectors, part, k, threshold, id_col) for part in parts])
+
+
+def _block_top_k(vectors: DataFrame, queries: DataFrame, k: int, threshold: float | None, id_col: str) -> DataFrame:
+    met = F.broadcast(queries).crossJoin(vectors)
     scored = met.select("query_id", id_col, vec_cosine(F.col("embedding"), F.col("query")).alias("similarity"))
     scored = scored.where(F.col("similarity") >= threshold) if threshold is not None else scored
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
@@ -71,7 +76,9 @@ def arrow_top_k(vectors: DataFrame, queries: np.ndarray, k: int = 10, id_col: st
             norm = np.linalg.norm(m, axis=1, keepdims=True)
             sims = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0) @ unit.T
             for q in range(len(unit)):
-                at = np.argsort(-sims[:, q], kind="stable")[: max(k, 1) * 2]
+                at = np.arange(len(m))
+                if k < len(m):  # ties with the last stay: the id decides among them
+                    at = np.flatnonzero(sims[:, q] >= np.partition(sims[:, q], -max(k, 1))[-max(k, 1)])
                 yield pd.DataFrame({"query_id": q, id_col: frame[id_col].to_numpy()[at], "similarity": sims[at, q]})
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col))
@@ -85,8 +92,8 @@ def centroids(vectors: DataFrame, label: str = "label", dim: int | None = None)
 
 
 def auto_clusters(n: int) -> int:
-    """Clusters by size: a tenth of the rows, 50 at most for small tables, then by the square root."""
-    return max(1, min(n // 10, 50)) if n <= 100_000 else int(n**0.5)
+    """A tenth of the rows, 50 at most."""
+    return max(1, min(n // 10, 50))
 
 
 def kmeans(vectors: DataFrame, k: int | None = None, seed: int = 42, id_col: str = "object_id") -> tuple[DataFrame, DataFrame]:

@@ -33,9 +33,11 @@ def stats(spark, folder):
 
 
 @query("graph_components", "GR-03 AGG-11", """
-SELECT 'region-' || r_regionkey AS object_id, 'customer-' || least_c AS component FROM region JOIN (SELECT n_regionkey, min(c_custkey::VARCHAR) AS least_c FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_regionkey) ON n_regionkey = r_regionkey""")
+WITH m AS (SELECT r_regionkey AS r, 'region-' || r_regionkey AS id FROM region UNION ALL SELECT n_regionkey, 'nation-' || n_nationkey FROM nation
+UNION ALL SELECT n_regionkey, 'customer-' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT n_regionkey, 'supplier-' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT id AS object_id, min(id) OVER (PARTITION BY r) AS component FROM m""")
 def components(spark, folder):
-    return graph.components(catalog.edges(spark, folder), catalog.nodes(spark, folder)).where(F.col("object_id").startswith("region-"))
+    return graph.components(catalog.edges(spark, folder), catalog.nodes(spark, folder))
 
 
 @query("edge_upsert", "SNK-18 JN-08", """

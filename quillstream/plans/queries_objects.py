@@ -143,13 +143,13 @@ def labels(spark, folder):
 
 
 @query("conversation_context", "NL-13 SRT-05", """
-SELECT conv_id, string_agg(role || ':' || substr(text, 1, 20), '; ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)) WHERE r <= 3 GROUP BY conv_id""")
+SELECT conv_id, string_agg(role || ':' || text, '; ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)) WHERE r <= 3 GROUP BY conv_id""")
 def context(spark, folder):
     from pyspark.sql import Window
 
     c = catalog.table(spark, folder, "conversations").distinct()
     last = c.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("r <= 3")
-    turn = F.struct("turn", F.concat("role", F.lit(":"), F.substring("text", 1, 20)).alias("t"))
+    turn = F.struct("turn", F.concat("role", F.lit(":"), "text").alias("t"))
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["t"]), "; ").alias("context"))
 
 

@@ -87,12 +87,12 @@ def rewrite_rule(spark, folder):
 
 
 @query("update_objects", "SNK-02 SNK-08 SC-13 SET-05", """
-SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'kept' WHEN abs(0.0 + octet_length(encode(substr(text, 1, 800))) - octet_length(encode(text))) / greatest(octet_length(encode(text)), 1) > 0.5 THEN 'rewritten' ELSE 'merged' END AS how,
-CASE WHEN doc_id % 3 <> 0 THEN lang WHEN abs(0.0 + octet_length(encode(substr(text, 1, 800))) - octet_length(encode(text))) / greatest(octet_length(encode(text)), 1) > 0.5 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN '2' END AS version FROM documents""")
+SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'kept' WHEN abs(0.0 + octet_length(encode(split_part(text, chr(10), 1))) - octet_length(encode(text))) / greatest(octet_length(encode(text)), 1) > 0.5 THEN 'rewritten' ELSE 'merged' END AS how,
+CASE WHEN doc_id % 3 <> 0 THEN lang WHEN abs(0.0 + octet_length(encode(split_part(text, chr(10), 1))) - octet_length(encode(text))) / greatest(octet_length(encode(text)), 1) > 0.5 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN '2' END AS version FROM documents""")
 def update(spark, folder):
     prepare(spark)
     o = catalog.objects(spark, folder)
-    new = o.where("doc_id % 3 = 0").select("object_id", "type", F.substring("text", 1, 800).alias("text"), F.create_map(F.lit("version"), F.lit("2")).alias("metadata"), F.array(F.lit("new")).alias("tags"))
+    new = o.where("doc_id % 3 = 0").select("object_id", "type", F.split("text", "\n", -1)[0].alias("text"), F.create_map(F.lit("version"), F.lit("2")).alias("metadata"), F.array(F.lit("new")).alias("tags"))
     new = new.withColumn("size", F.octet_length(F.encode("text", "UTF-8")).cast("long"))
     out = storage.update_objects(o.drop("doc_id"), new)
     return out.select(F.substring("object_id", 5, 20).cast("long").alias("doc_id"), "how", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["version"].alias("version"))

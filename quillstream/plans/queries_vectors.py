@@ -52,9 +52,10 @@ def angular(spark, folder):
 
 @query("vec_batch_topk", "VEC-11 JN-04 WIN-05", """
 SELECT query_id, vec_id, round(s, 4) AS similarity, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id IN (0, 1, 2, 3, 4)) WHERE rank <= 10""")
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 10""")
 def batch(spark, folder):
-    v, q = against(spark, folder, 0, 1, 2, 3, 4)
+    v = catalog.vectors(spark, folder)
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return rounded(search.batch_top_k(v, q, 10, id_col="vec_id"))
 
 
@@ -147,10 +148,10 @@ def lsh(spark, folder):
 
 
 @query("embed_hashed_text", "EMB-01 EMB-02 EMB-06", """
-WITH t AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM benchmark),
-b AS (SELECT item_id, ('0x' || substr(md5(tok), 1, 4))::INT % 64 AS bucket, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
-m AS (SELECT item_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY item_id)
-SELECT item_id, bucket, round(n / norm, 4) AS weight FROM b JOIN m USING (item_id)""")
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM documents),
+b AS (SELECT doc_id, ('0x' || substr(md5(tok), 1, 4))::INT % 64 AS bucket, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM b GROUP BY doc_id)
+SELECT doc_id, bucket, round(n / norm, 4) AS weight FROM b JOIN m USING (doc_id)""")
 def embed(spark, folder):
-    b = catalog.table(spark, folder, "benchmark").select("item_id", F.posexplode(embedding.embed_column(F.col("text"))).alias("bucket", "w"))
-    return b.where("w > 0").select("item_id", "bucket", F.round("w", 4).alias("weight"))
+    d = catalog.table(spark, folder, "documents").select("doc_id", F.posexplode(embedding.embed_column(F.col("text"))).alias("bucket", "w"))
+    return d.where("w > 0").select("doc_id", "bucket", F.round("w", 4).alias("weight"))
