@@ -155,7 +155,7 @@ def stream_dedup(spark, folder):
 @query("event_stream_versions", "ST-03 ST-05 ES-07", "SELECT event_id, version, version % 100 = 0 AS snapshot FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events)")
 def stream_versions(spark, folder):
     s = st.stream_table(spark, folder, "events").withColumn("object_id", F.concat(F.lit("user-"), F.col("user_id").cast("string")))
-    return st.run_now(st.versioned(s), f"stream_versions_{uuid.uuid4().hex}", "append").select("event_id", "version", "snapshot")
+    return st.run_to_folder(st.versioned(s)).select("event_id", "version", "snapshot")
 
 
 @query("event_stream_views", "ST-04 LLM-04 SNK-01", "SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY user_id")
@@ -175,3 +175,82 @@ def running(spark, folder):
     return catalog.table(spark, folder, "events").select("event_id", F.lag("event_type").over(w).alias("before"), F.round(F.sum("value").over(w.rowsBetween(-4, 0)), 2).alias("last5"))
 
 
+@query("event_interval_join", "ST-06 JN-09", """
+SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL '6 hours'""")
+def interval_join(spark, folder):
+    e = lambda kind: st.stream_table(spark, folder, "events").where(F.col("event_type") == kind)
+    left = e("signup").select("ts", F.col("user_id").alias("u"), F.col("event_id").alias("first_id"))
+    right = e("purchase").select(F.col("ts").alias("ts2"), "user_id", F.col("event_id").alias("second_id"))
+    pairs = st.interval_join(left, right, F.col("u") == F.col("user_id"), "6 hours", "40 days").select("first_id", "second_id")
+    return st.run_to_folder(pairs)
+
+
+@query("event_triggers", "LLM-04 ST-04", "SELECT 'errors' AS rule, event_id FROM events WHERE event_type = 'error' UNION ALL SELECT 'dear', event_id FROM events WHERE value > 100")
+def fired(spark, folder):
+    from ..session import shared_dir
+
+    root = f"{shared_dir(spark)}/triggers-{uuid.uuid4().hex}"
+    rules = {"errors": lambda b: b.where("event_type = 'error'"), "dear": lambda b: b.where("value > 100"), "never": lambda b: b.where("event_id < 0")}
+    act = lambda name, rows: rows.select(F.lit(name).alias("rule"), "event_id").write.mode("append").parquet(f"{root}/out")
+    st.triggers(st.stream_table(spark, folder, "events"), rules, act, f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema("rule string, event_id bigint").parquet(f"{root}/out")
+
+
+def nations(spark, folder):
+    """What a caller hands to the facade: 25 objects."""
+    rows = catalog.table(spark, folder, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    return [{"type": "text", "data": r["n_name"], "metadata": {"key": str(r["n_nationkey"])}, "tags": ["nation"]} for r in rows]
+
+
+def facade(spark):
+    from ..engine import Engine
+    from ..session import shared_dir
+
+    return Engine(spark, f"{shared_dir(spark)}/facade-{uuid.uuid4().hex}")
+
+
+@query("facade_objects", "SNK-01 SNK-02 SNK-03 API-02 API-08", """
+SELECT n_nationkey AS key, n_name || CASE WHEN n_nationkey % 5 = 3 THEN '!' ELSE '' END AS text, CASE WHEN n_nationkey % 5 = 3 THEN 2 ELSE 1 END AS version, CASE WHEN n_nationkey % 5 = 3 THEN 'nation,changed' ELSE 'nation' END AS tags,
+CASE WHEN n_nationkey % 5 = 3 THEN 'x' END AS note FROM nation WHERE n_nationkey % 5 <> 4""")
+def facade_objects(spark, folder):
+    with facade(spark) as e:
+        given = nations(spark, folder)
+        for i, key in enumerate(e.insert_many(given)):
+            if i % 5 == 3:
+                e.update(key, {"type": "text", "data": given[i]["data"] + "!", "metadata": {"note": "x"}, "tags": ["changed"]})
+            elif i % 5 == 4:
+                e.delete(key)
+        return e.current().select(F.col("metadata")["key"].cast("long").alias("key"), "text", "version", F.array_join("tags", ",").alias("tags"), F.col("metadata")["note"].alias("note"))
+
+
+@query("facade_compact_restore", "SNK-13 SNK-16 API-05 SNK-10", """
+SELECT 'compacted' AS stage, 'INSERT' AS event_type, count(*) AS n FROM nation UNION ALL SELECT 'compacted', 'DELETE', count(*) FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'restored', 'INSERT', count(*) FROM nation""")
+def facade_compact_restore(spark, folder):
+    with facade(spark) as e:
+        made = e.insert_many(nations(spark, folder))
+        e.backup(f"{e.path}-backup")
+        for key in made[:3]:
+            e.delete(key)
+        count = lambda stage: [(stage, r["event_type"], r["count"]) for r in e.events().groupBy("event_type").count().collect()]
+        e.compact(2)
+        rows = count("compacted")
+        e.restore(f"{e.path}-backup")
+        return spark.createDataFrame(rows + count("restored"), "stage string, event_type string, n long")
+
+
+@query("facade_query", "API-03 API-07 LIM-04 UD-02", "SELECT n_name AS text FROM nation WHERE contains(n_name, 'AN')")
+def facade_query(spark, folder):
+    with facade(spark) as e:
+        e.insert_many(nations(spark, folder))
+        return e.query("SELECT text FROM multimodal_data WHERE CAPTION_CONTAINS(\"AN\")").select("text")
+
+
+@query("event_undelete", "ES-10 SNK-03 ES-02", """
+WITH e AS (SELECT *, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS gone, max(event_id) OVER (PARTITION BY user_id) AS top FROM events),
+d AS (SELECT * FROM e WHERE gone = top), b AS (SELECT user_id, max(CASE WHEN event_type = 'error' AND event_id < gone THEN event_id END) AS wiped FROM d GROUP BY user_id)
+SELECT 'user-' || user_id AS object_id, arg_max(json_extract_string(props, '$.k'), event_id) AS k FROM d JOIN b USING (user_id) WHERE event_id < gone AND (wiped IS NULL OR event_id > wiped) GROUP BY user_id""")
+def undelete(spark, folder):
+    """Objects that are deleted now, as they were before their last DELETE."""
+    log = catalog.event_log(spark, folder)
+    gone = es.latest(log).where("event_type = 'DELETE'").select("object_id", F.col("event_id").alias("gone"))
+    return es.fold(log.join(gone, "object_id").where("sequence_number < gone").drop("gone")).where(F.size("state") > 0).select("object_id", F.col("state")["k"].alias("k"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import shared_dir
+
 RAW = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -92,6 +95,13 @@ def run_now(stream: DataFrame, name: str, mode: str, checkpoint: str | None = No
     return stream.sparkSession.table(name)
 
 
+def run_to_folder(stream: DataFrame) -> DataFrame:
+    """All that is there now, through a Parquet folder in the shared one; for results of any size."""
+    root = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
+
+
 def triggers(stream: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame]], act: Callable[[str, DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Calls act(name, rows) for each rule that has rows in a micro-batch."""
 
