@@ -41,6 +41,4 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
-    made = f"file://{os.path.join(tempfile.gettempdir(), 'quillstream-shared')}"
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    return f"file://{os.path.join(tempfile.gettempdir(), 'quillstream-shared')}"
