@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.columns import contains_ci, iot_description, vec_cosine
 from ..operators import graph, predicates
 from ..sources import catalog
+from . import planner
 from .registry import query
 
 
@@ -142,14 +144,20 @@ def labels(spark, folder):
     return d.join(lab, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
+def in_context(question: pd.Series, history: pd.Series) -> pd.Series:
+    return pd.Series([planner.with_context(q, {"conversation_history": list(h)}) for q, h in zip(question, history)])
+
+
 @query("conversation_context", "NL-13 SRT-05", """
-SELECT conv_id, string_agg(role || ':' || text, '; ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)) WHERE r <= 3 GROUP BY conv_id""")
+SELECT conv_id, arg_max(text, turn) || ' | 会话上下文: ' || string_agg(role || ':' || text, '; ' ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)) WHERE r <= 3 GROUP BY conv_id""")
 def context(spark, folder):
     from pyspark.sql import Window
 
     c = catalog.table(spark, folder, "conversations").distinct()
     last = c.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("r <= 3")
     turn = F.struct("turn", F.concat("role", F.lit(":"), "text").alias("t"))
-    return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["t"]), "; ").alias("context"))
+    held = last.groupBy("conv_id").agg(F.max_by("text", "turn").alias("question"), F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["t"]).alias("history"))
+    asked = F.pandas_udf(in_context, "string")
+    return held.select("conv_id", asked("question", "history").alias("context"))
 
 
