@@ -1,35 +1,39 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-Features are words and word beginnings (3 to 5 characters, so that inflected and
-derived forms meet). Their vocabulary is chosen on the labelled rows: what appears far more
-often in toxic than in clean ones. Examples are kept as TF-IDF vectors over it in an
-inverted index whose postings are cut at blocks of examples; a block's largest weights bound
-what it can add, and blocks are read by falling bound until none can enter the k best,
-so the k nearest are exact (ties by example order). Their labels vote by squared
+Features are all words and their beginnings (4 characters, so that inflected and
+derived forms meet), known by 64-bit hashes. A feature weighs (1 + log tf) * idf, and the idf is raised by what the labels
+say about it: 1 + `raise_by` * evidence, evidence being the log odds ratio of the feature in toxic and in clean
+examples, less two standard errors, 0 at least. No feature is left out, and vectors have length 1 over the whole text.
+
+The examples form an inverted index. The postings of rare features are cut at blocks of examples, and each block's
+largest weight is kept; those of features in more than one of `DENSE` examples are rows of a matrix, multiplied for many texts at once.
+Both together bound what a block of examples can reach; blocks of too small a bound are not read, so the
+k nearest are exact (ties by example order). Their labels vote by squared
 similarity. Votes become probabilities by a monotone fit of leave-one-out votes on the
 examples. Texts that share no feature with any example get the rate of such examples.
 
-Examples of one text count once, as toxic if any is. The index holds at most `max_examples` labelled rows (the first by hash of their id) and
-`max_features` features; that bounds what is collected and sent to executors. All rows are scored on
+Examples of one text count once, as toxic if any is. The index holds at most `max_examples` labelled rows (the first by hash of their id);
+that bounds what is collected and sent to executors. All rows are scored on
 their whole texts. Null and empty texts score as texts without features. Without
-labels all scores are 0. Rows are independent; repeated rows score alike.
+labels all scores are 0. Rows are independent; repeated rows score alike. Columns qs_score and qs_evidence
+of the documents are replaced.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 STRIP = "\"'“”‘’`()[]{}<>.,;:!?¿¡*_#|-–—…&%$@+=~^/\\"
-PREFIXES = (3, 4, 5)
-BLOCK = 64
+PREFIXES = (4,)
+BLOCK, DENSE, TEXTS = 64, 32, 64
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -38,87 +42,136 @@ def word_features(word: str) -> tuple[str, ...]:
 
 
 class Features(dict):
-    """word -> what `of` makes of its features, remembered up to a bound."""
+    """word -> hashes of its features, remembered up to a bound."""
 
-    def __init__(self, of, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
-        self.of, self.most = of, most
+        self.most = most
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> np.ndarray:
         if len(self) >= self.most:
             self.clear()
-        got = self[word] = self.of(word_features(word))
+        got = self[word] = np.array([xxhash.xxh3_64_intdigest(f) for f in word_features(word)], np.uint64)
         return got
 
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, counts) of a text's features, by hash."""
+        words = Counter((text or "").lower().split())
+        held = [self[w] for w in words]
+        if not held:
+            return np.empty(0, np.uint64), np.empty(0)
+        names, at = np.unique(np.concatenate(held), return_inverse=True)
+        return names, np.bincount(at, np.repeat(list(words.values()), [len(h) for h in held]), len(names))
+
+
+def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, span of each) of the ranges start..end - 1, one after another."""
+    n = ends - starts
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + starts[owner], owner
+
 
 class Model:
-    """Vocabulary, examples and their index, calibration."""
+    """Weights of features, examples and their index, calibration."""
 
-    def __init__(self, idf: dict[str, float], examples: list[tuple[object, int, list[tuple[str, int]]]], plain: tuple[int, int], k: int = 15):
+    def __init__(self, examples: list[tuple[object, int, tuple[np.ndarray, np.ndarray]]], k: int = 15, raise_by: float = 2.0):
+        """examples: id, label, (hashes, counts)."""
         self.k = k
-        self.number = {f: i for i, f in enumerate(sorted(idf))}
-        self.idf = np.array([idf[f] for f in sorted(idf)], float)
-        self.plain = (plain[1] + 0.5) / (sum(plain) + 1.0) if sum(plain) else 0.0
         examples = sorted(examples, key=lambda e: (str(type(e[0])), e[0]))
         self.ids, self.labels = [e[0] for e in examples], np.array([e[1] for e in examples], float)
-        vectors = [self.vector({self.number[f]: n for f, n in e[2]}) for e in examples]
-        held: dict[int, list[tuple[int, float]]] = {}
-        for i, (fs, ws) in enumerate(vectors):
-            for f, w in zip(fs, ws):
-                held.setdefault(f, []).append((i, w))
-        self.postings = {}
-        for f, rows in held.items():
-            at, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            blocks, starts = np.unique(at // BLOCK, return_index=True)
-            self.postings[f] = (at, w, blocks, np.maximum.reduceat(w, starts), np.append(starts, len(at)), {int(b): j for j, b in enumerate(blocks)})
-        self.known: dict = {}
-        self.curve = ([0.0], [self.plain])
-        raw = [self.vote(self.nearest(*v, skip=i)) for i, v in enumerate(vectors)]
+        n, sizes = len(examples), [len(e[2][0]) for e in examples]
+        owner = np.repeat(np.arange(n), sizes)
+        self.names, at = np.unique(np.concatenate([e[2][0] for e in examples]) if n else np.empty(0, np.uint64), return_inverse=True)
+        df = np.bincount(at, minlength=len(self.names))
+        toxic, bad = np.bincount(at, self.labels[owner], len(self.names)), self.labels.sum()
+        clean = df - toxic
+        odds = np.log((toxic + 0.5) / (bad - toxic + 0.5)) - np.log((clean + 0.5) / (n - bad - clean + 0.5))
+        sure = np.maximum(0, np.abs(odds) - 2 * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)))
+        self.weight, self.new = np.log((n + 1) / np.maximum(df, 1)) * (1 + raise_by * sure), float(np.log(n + 1))
+        tf = 1 + np.log(np.concatenate([e[2][1] for e in examples]) if n else np.empty(0))
+        w = tf * self.weight[at]
+        norm = np.sqrt(np.bincount(owner, w * w, n))
+        w /= np.where(norm > 0, norm, 1)[owner]
+        # frequent features: rows of a matrix; the others: postings by feature, with the largest weight of each block
+        often = np.flatnonzero(df > max(1, n // DENSE))
+        self.row = np.full(len(self.names), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), -(-n // BLOCK) * BLOCK))
+        common = self.row[at] >= 0
+        self.dense[self.row[at[common]], owner[common]] = w[common]
+        f, self.at, self.w = at[~common], owner[~common], w[~common]
+        order = np.lexsort((self.at, f))
+        f, self.at, self.w = f[order], self.at[order], self.w[order]
+        first = np.flatnonzero(np.r_[True, (f[1:] != f[:-1]) | (self.at[1:] // BLOCK != self.at[:-1] // BLOCK)]) if len(f) else np.empty(0, np.int64)
+        self.block, self.start = self.at[first] // BLOCK, np.append(first, len(f))
+        self.most = np.maximum.reduceat(self.w, first) if len(f) else np.empty(0)
+        self.cut = np.searchsorted(f[first], np.arange(len(self.names) + 1))  # a feature's blocks
+        self.curve, self.plain = ([0.0], [0.0]), 0.0
+        near = []
+        for s in range(0, n, TEXTS):
+            near += self.nearest([e[2] for e in examples[s : s + TEXTS]], s)
+        raw = [self.vote(x) for x in near]
+        alone = [y for r, y in zip(raw, self.labels) if r is None]
+        self.plain = (sum(alone) + bad / n) / (len(alone) + 1) if n else 0.0
         self.curve = monotone([(r, y) for r, y in zip(raw, self.labels) if r is not None])
 
-    def vector(self, counts: dict[int, int]) -> tuple[list[int], np.ndarray]:
-        fs = sorted(counts)
-        w = np.array([(1 + math.log(counts[f])) * self.idf[f] for f in fs])
-        norm = math.sqrt(float(w @ w)) if len(w) else 0.0
-        return fs, w / norm if norm else w
-
-    def nearest(self, fs: list[int], ws: np.ndarray, skip: int = -1) -> list[tuple[int, float]]:
-        """The k most similar examples, exact: (example, cosine) by falling cosine, then example."""
-        terms = [(self.postings[f], w) for f, w in zip(fs, ws) if f in self.postings]
-        if not terms:
+    def vector(self, names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of known features, weights): a text's vector, its length taken over all its features."""
+        if not len(self.names) or not len(names):
+            return np.empty(0, np.int64), np.empty(0)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        known = self.names[at] == names
+        w = (1 + np.log(counts)) * np.where(known, self.weight[at], self.new)
+        norm = np.sqrt(float(w @ w))
+        return at[known], w[known] / (norm or 1.0)
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], skip: int | None = None) -> list[list[tuple[int, float]]]:
+        """For each text the k most similar examples, exact: (example, cosine) by falling cosine, then example. skip: the example that the first text is, and so on."""
+        vectors = [self.vector(*t) for t in texts]
+        asked = np.zeros((len(vectors), len(self.dense)))
+        for i, (f, w) in enumerate(vectors):
+            row = self.row[f]
+            asked[i, row[row >= 0]] = w[row >= 0]
+        sums = asked @ self.dense
+        return [self._nearest(f[self.row[f] < 0], w[self.row[f] < 0], sums[i], -1 if skip is None else skip + i) for i, (f, w) in enumerate(vectors)]
+
+    def _nearest(self, f: np.ndarray, w: np.ndarray, total: np.ndarray, skip: int) -> list[tuple[int, float]]:
+        """f, w: rare features; total: what the frequent ones add to each example."""
+        if not len(total):
             return []
-        bound = np.zeros(len(self.ids) // BLOCK + 1)
-        for (_, _, blocks, most, _, _), w in terms:
-            bound[blocks] += w * most
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) >= self.k and bound[b] < -best[self.k - 1][0] - 1e-9:
-                break
-            total = np.zeros(BLOCK)
-            for (at, weights, _, _, starts, where), w in terms:
-                j = where.get(int(b))
-                if j is not None:
-                    s = slice(starts[j], starts[j + 1])
-                    total[at[s] - b * BLOCK] += w * weights[s]
-            best += [(-round(float(total[i]), 9), int(b * BLOCK + i)) for i in np.flatnonzero(total > 0) if b * BLOCK + i != skip]
-            best = sorted(best)[: self.k]
-        return [(i, -s) for s, i in best]
+        piece, owner = spans(self.cut[f], self.cut[f + 1])
+        weight, block = w[owner], self.block[piece]
+        bound = total.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weight * self.most[piece], len(total) // BLOCK)
+        ranked = np.argsort(-bound, kind="stable")
+        found: list[tuple[float, int]] = []
+        at, size = 0, 1 + 2 * self.k // BLOCK
+        while at < len(ranked) and bound[ranked[at]] > 0 and (len(found) < self.k or bound[ranked[at]] >= -found[self.k - 1][0] - 1e-9):
+            chosen = ranked[at : at + size]
+            at, size = at + size, 4 * size
+            mine = np.zeros(len(bound), bool)
+            mine[chosen] = True
+            use = np.flatnonzero(mine[block])
+            place, of = spans(self.start[piece[use]], self.start[piece[use] + 1])
+            score = np.where(np.repeat(mine, BLOCK), total, 0.0) + np.bincount(self.at[place], weight[use][of] * self.w[place], len(total))
+            hit = np.flatnonzero(score > 1e-9)
+            hit = hit[hit != skip]
+            if len(hit) > self.k:  # all that tie with the last stay until they are sorted
+                hit = hit[score[hit] >= np.partition(score[hit], -self.k)[-self.k] - 1e-9]
+            found = sorted(found + [(-round(float(score[i]), 9), int(i)) for i in hit])[: self.k]
+        return [(i, -s) for s, i in found]
 
     def vote(self, near: list[tuple[int, float]]) -> float | None:
         total = sum(s * s for _, s in near)
         return sum(s * s * self.labels[i] for i, s in near) / total if total else None
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[object, int, float]]]:
-        """(calibrated score, evidence: id, label, similarity)."""
-        key = tuple(sorted(counts.items()))
-        if key not in self.known:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            near = self.nearest(*self.vector(counts)) if counts else []
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[tuple[object, int, float]]]]:
+        """(calibrated score, evidence: id, label, similarity) of each text."""
+        out = []
+        for near in self.nearest(texts):
             raw = self.vote(near)
             score = self.plain if raw is None else float(np.interp(raw, *self.curve))
-            self.known[key] = (min(1.0, max(0.0, score)), [(self.ids[i], int(self.labels[i]), s) for i, s in near])
-        return self.known[key]
+            out.append((min(1.0, max(0.0, score)), [(self.ids[i], int(self.labels[i]), s) for i, s in near]))
+        return out
 
 
 def monotone(points: list[tuple[float, float]]) -> tuple[list[float], list[float]]:
@@ -140,65 +193,32 @@ def monotone(points: list[tuple[float, float]]) -> tuple[list[float], list[float
     return [xs[i] for i in order], list(np.maximum.accumulate([ys[i] for i in order]))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 20_000, max_features: int = 5_000, least: int = 5, lift: float = 4.0, chi: float = 40.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 4_000, k: int = 15) -> Model:
     """A model from the labelled rows where `learn` (over the label table's id) holds."""
-    spark = docs.sparkSession
     rows = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("qs_id")).agg((F.max(label_col) > 0).cast("int").alias("qs_y"))
     rows = F.broadcast(rows.orderBy(F.xxhash64("qs_id"), "qs_id").limit(max_examples))  # at most max_examples ids and labels
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(rows, F.col("id") == F.col("qs_id")).select("id", "qs_y", "text")
     once = Window.partitionBy(F.xxhash64("text"), "text").orderBy(F.desc("qs_y"), "id")  # copies would count as evidence of their own
     held = scratch.save(held.withColumn("qs_r", F.row_number().over(once)).where("qs_r = 1").drop("qs_r"), "examples")
-
-    def count(batches):
-        for batch in batches:
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            memo = Features(tuple)
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[y].update({f for w in set((text or "").lower().split()) for f in memo[w]})
-            names = list(seen[0] | seen[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[0][f] for f in names], pa.int64()), pa.array([seen[1][f] for f in names], pa.int64())], ["f", "clean", "toxic"])
-
-    sides = {r["qs_y"]: r["count"] for r in held.groupBy("qs_y").count().collect()}
-    n0, n1 = sides.get(0, 0), sides.get(1, 0)
-    if not n1:
-        return Model({}, [], (n0, 0))
-    counted = held.select("qs_y", "text").mapInArrow(count, "f string, clean bigint, toxic bigint").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    a, b, n = F.col("toxic").cast("double"), F.col("clean").cast("double"), float(n0 + n1)
-    stat = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2.0)) / ((a + b) * (n - a - b) * float(n0 or 1) * float(n1) + 1e-9)
-    chosen = counted.where((a + b >= least) & (a / n1 >= lift * (b + 0.5) / (n0 + 1.0))).withColumn("stat", stat).where(F.col("stat") >= chi)
-    chosen = chosen.orderBy(F.desc("stat"), "f").limit(max_features).collect()
-    idf = {r["f"]: math.log(1 + n / (r["toxic"] + r["clean"])) for r in chosen}
-    names = spark.sparkContext.broadcast(frozenset(idf))
-    kind = held.schema["id"].dataType.simpleString()
-
-    def encode(batches):
-        memo = Features(lambda fs: tuple(f for f in fs if f in names.value))
-        for batch in batches:
-            counts = [Counter(f for w in (t or "").lower().split() for f in memo[w]) for t in batch.column(2).to_pylist()]
-            keep = [sorted(c.items()) for c in counts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[f for f, _ in c] for c in keep], pa.list_(pa.string())), pa.array([[m for _, m in c] for c in keep], pa.list_(pa.int64()))], ["id", "y", "fs", "ns"])
-
-    coded = held.mapInArrow(encode, f"id {kind}, y int, fs array<string>, ns array<bigint>").collect()  # at most max_examples short lists
-    examples = [(r["id"], r["y"], list(zip(r["fs"], r["ns"]))) for r in coded if r["fs"]]
-    plain = [sum(1 for r in coded if not r["fs"] and r["y"] == y) for y in (0, 1)]
-    return Model(idf, examples, (plain[0], plain[1]))
+    memo = Features()
+    return Model([(r["id"], r["qs_y"], memo.of(r["text"])) for r in held.toLocalIterator()], k)  # at most max_examples rows
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", shown: int = 3) -> DataFrame:
     """All rows with their columns, and qs_score, qs_evidence (the `shown` nearest: example, toxic, similarity)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("qs_score", "qs_evidence")
     at, cols = docs.columns.index(text_col), docs.columns
     schema = docs.withColumns({"qs_score": F.lit(0.0), "qs_evidence": F.array().cast("array<struct<example string, toxic int, similarity double>>")}).schema
     kind = pa.list_(pa.struct([("example", pa.string()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches):
-        model = sent.value
-        memo = Features(lambda fs: tuple(model.number[f] for f in fs if f in model.number))
-        for batch in batches:
-            made = []
-            for text in batch.column(at).to_pylist():
-                made.append(model.score(Counter(f for w in (text or "").lower().split() if (fs := memo[w]) for f in fs)))
-            evidence = [[{"example": str(i), "toxic": y, "similarity": s} for i, y, s in e[:shown]] for _, e in made]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in made], pa.float64()), pa.array(evidence, kind)], names=[*cols, "qs_score", "qs_evidence"])
+        model, memo = sent.value, Features()
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                made = model.score([memo.of(text) for text in batch.column(at).to_pylist()])
+                evidence = [[{"example": str(i), "toxic": y, "similarity": s} for i, y, s in e[:shown]] for _, e in made]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in made], pa.float64()), pa.array(evidence, kind)], names=[*cols, "qs_score", "qs_evidence"])
 
     return docs.mapInArrow(run, schema)
