@@ -19,19 +19,25 @@ from quillstream.llm.common import Scratch, crc_mod, table
 SHINGLE, PERCENT = 5, 80
 
 
+def _beside(docs: DataFrame, names: set[str], work) -> DataFrame:
+    """work(docs) with the columns of docs; those that clash with the columns `names` that it adds have other names meanwhile."""
+    held = {c: f"own_{k}_{c}" for k, c in enumerate(docs.columns) if c.lower() in names}
+    out = work(docs.withColumnsRenamed(held))
+    return out.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score under 0.5 stay."""
     scratch = Scratch(spark, "toxicity")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0, scratch)
     scratch.drop()
-    return toxicity.score(docs, model).where("qs_score < 0.5").select(*docs.columns)
+    return _beside(docs, {"qs_score", "qs_evidence"}, lambda d: toxicity.score(d, model).where("qs_score < 0.5"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document of which no text is left goes."""
-    out = line_dedup.dedup_lines(docs)
     left = (F.col("n_removed") == 0) | (F.trim(F.col("text"), F.lit(" \n\t\r")) != "")
-    return out.where(left).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return _beside(docs, {"n_lines", "n_removed"}, lambda d: line_dedup.dedup_lines(d).where(left).withColumn("n_chars", F.length("text").cast("bigint")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +52,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found stay."""
-    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("qs_items") == 0).select(*docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return _beside(docs, {"qs_items", "qs_k1", "qs_k2"}, lambda d: decontaminate.find_items(d, items).where(F.size("qs_items") == 0))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.llm import decontaminate, jaccard_join, language, licences, line_dedup, lm_scoring, media, mixing, secrets, toxicity
-from quillstream.llm.common import Hashes, Scratch, components, crc_mod
+from quillstream.llm.common import Bitmap, Hashes, Scratch, components, crc_mod
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, list long, first string"
 WORDS = [f"{a}{b}" for a in "bcdfghklmn" for b in ("a", "e", "io", "ur")]
@@ -69,16 +69,32 @@ def test_licences_on_long_lines_and_of_other_tables(spark):
 
 
 def test_nearest_is_exact():
-    r = random.Random(3)
-    names = [f"f{i}" for i in range(40)]
-    examples = [(i, r.randint(0, 1), [(f, r.randint(1, 3)) for f in r.sample(names, r.randint(1, 6))]) for i in range(500)]
-    model = toxicity.Model({f: r.random() + 0.5 for f in names}, examples, (90, 10))
-    vectors = [dict(zip(*model.vector({model.number[f]: n for f, n in e[2]}))) for e in examples]
-    for _ in range(60):
-        fs, ws = model.vector({i: r.randint(1, 3) for i in r.sample(range(40), r.randint(1, 5))})
-        q = dict(zip(fs, ws))
-        want = sorted((-round(sum(w * v.get(f, 0) for f, w in q.items()), 9), i) for i, v in enumerate(vectors))
-        assert [i for i, _ in model.nearest(fs, ws)] == [i for s, i in want[: model.k] if s < 0]
+    r, memo = random.Random(3), toxicity.Features()
+    make = lambda n: " ".join(r.choice(WORDS) + r.choice(["", "", "x", f"q{r.randrange(60)}"]) for _ in range(n))
+    texts = [make(r.randint(1, 30)) for _ in range(400)]
+    texts += texts[:30]  # ties
+    model = toxicity.Model([(i, int(r.random() < 0.2), memo.of(t)) for i, t in enumerate(texts)])
+    assert len(model.dense) and len(model.most)
+
+    def vector(text):
+        names, counts = memo.of(text)
+        known = dict(zip(model.names.tolist(), model.weight.tolist()))
+        v = {h: (1 + np.log(c)) * known.get(h, model.new) for h, c in zip(names.tolist(), counts.tolist())}
+        norm = np.sqrt(sum(w * w for w in v.values()))
+        return {h: w / norm for h, w in v.items()}
+
+    vectors = [vector(t) for t in texts]
+    asked = [make(r.randint(1, 30)) for _ in range(60)] + texts[:5] + ["", "\U0001f600 unseen"]
+    got = model.nearest([memo.of(t) for t in asked])
+    for text, near in zip(asked, got):
+        q = vector(text) if text else {}
+        want = sorted((-round(sum(w * v.get(h, 0) for h, w in q.items()), 9), i) for i, v in enumerate(vectors))
+        want = [(i, -s) for s, i in want[: model.k] if s < 0]
+        assert [s for _, s in near] == pytest.approx([s for _, s in want], abs=2e-9)
+        assert {i for i, s in near if s > want[-1][1] + 1e-8} == {i for i, s in want if s > want[-1][1] + 1e-8} if want else not near
+    votes = [sum(s * s * model.labels[i] for i, s in x) / sum(s * s for _, s in x) if x else None for x in got]
+    want = [model.plain if v is None else float(np.interp(v, *model.curve)) for v in votes]
+    assert [s for s, _ in model.score([memo.of(t) for t in asked])] == pytest.approx(want)
 
 
 def test_toxicity_learns_and_leaves_clean_texts(spark, tmp_path):
@@ -99,7 +115,11 @@ def test_toxicity_learns_and_leaves_clean_texts(spark, tmp_path):
     right = sum((row["qs_score"] >= 0.5) == (row["doc_id"] % 5 == 0) for row in held)
     assert len(got) == 608 and right >= 0.95 * len(held)
     assert all(0 <= row["qs_score"] < 0.5 for row in got if row["doc_id"] >= 600)
-    assert any(row["qs_evidence"] for row in got)
+    assert all(row["qs_evidence"] for row in got if row["doc_id"] < 600)
+    clash = docs.withColumn("qs_score", F.lit("x"))
+    assert clash.select("text").count() == toxicity.score(clash, model).where("qs_score <= 1").count()
+    same = toxicity.train(docs.union(docs), lab, crc_mod("doc_id", 5) != 0, Scratch(spark, "t"))
+    assert same.labels.tolist() == model.labels.tolist()  # repeated rows count once
     assert toxicity.score(empty(spark), model).count() == 0
     none = toxicity.train(docs, lab.limit(0), F.lit(True), Scratch(spark, "t"))
     assert {row["qs_score"] for row in toxicity.score(docs, none).collect()} == {0.0}
@@ -205,8 +225,10 @@ def test_decontamination(spark):
     assert [got[n + i]["items"] for i in range(5)] == ["1", "1", "", "", "1"]
     assert got[n]["exact"] == 1 and got[n + 1]["exact"] == 0 and got[n + 5]["cover"] < 1
     assert all(got[i]["contaminated"] == 0 for i in range(n))
-    blocks = decontaminate.report(decontaminate.find_items(docs, bench, block_windows=20))
-    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, got.values()))
+    twice = decontaminate.report(decontaminate.find_items(docs.union(docs), bench.union(bench)))
+    assert sorted(map(tuple, twice.collect())) == sorted([*map(tuple, got.values())] * 2)
+    clash = decontaminate.find_items(docs.withColumn("qs_items", F.lit(1)).withColumn("qs_k1", F.lit(2)), bench)
+    assert sorted(map(tuple, decontaminate.report(clash).collect())) == sorted(map(tuple, got.values()))
     assert decontaminate.find_items(empty(spark), bench).count() == 0
     assert decontaminate.find_items(docs, bench.limit(0)).where(F.size("qs_items") > 0).count() == 0
 
@@ -219,6 +241,57 @@ def test_items_of_placeholders_are_found_as_they_stand(spark):
     assert got == {i: (str(i), 1) if i < 3 else ("", 0) for i in range(8)}
 
 
+def items_by_brute_force(text, items, width=5, cover=0.5, literals=3):
+    """item -> (cover, exact), comparing every window of the text with every window of every item."""
+    vocabulary, out = decontaminate.Vocabulary(), {}
+    h, slot, filler = (x.tolist() for x in decontaminate.tokens(text, vocabulary))
+    for item, own_text in items:
+        ih, own_slot, own = (x.tolist() for x in decontaminate.tokens(own_text, vocabulary))
+        w = min(width, len(ih))
+        if not w:
+            continue
+        good = [p for p in range(len(ih) - w + 1) if own_slot[p : p + w].count(0) >= min(literals, w)]
+        a, b = (ih, h) if good else (own, filler)
+        good = good or list(range(len(ih) - w + 1))
+        covered, same = set(), True
+        for shift in range(-len(ih), len(h)):
+            places = [p for p in good if 0 <= p + shift <= len(h) - w and a[p : p + w] == b[p + shift : p + shift + w]]
+            spots = sorted({p + j for p in places for j in range(w) if own_slot[p + j] and own_slot[p + j] == slot[p + j + shift]})
+            votes = collections.defaultdict(collections.Counter)
+            for q in spots:
+                votes[own_slot[q], own[q]][filler[q + shift]] += 1
+            best = {k: max(v, key=lambda f: (v[f], f)) for k, v in votes.items()}
+            bad = {q for q in spots if best[own_slot[q], own[q]] != filler[q + shift]}
+            covered |= {p for p in places if not bad & set(range(p, p + w))}
+            same &= all(k[1] == f for k, f in best.items())
+        if covered and len(covered) >= cover * len(good):
+            old = out.get(item, (0, False))
+            out[item] = (max(old[0], len(covered) / len(good)), old[1] or same)
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(12)
+    names, units = ["Alice", "Bob", "Carol", "Diana"], ["kg", "miles", "dollars"]
+    part = lambda: r.choice([r.choice(names), str(r.randint(1, 40)), r.choice(units), *(r.choice(WORDS[:9]) for _ in range(5))])
+    items = [(i % 25, " ".join(part() for _ in range(r.choice([1, 2, 3, 5, 8, 14, 25])))) for i in range(30)] + [(40, None), (41, "")]
+    shared = " ".join(part() for _ in range(6))  # a passage that many items and documents hold
+    items += [(50 + i, f"{shared} {part()} {part()} {part()}") for i in range(8)]
+    texts = list(EDGES)
+    for i in range(60):
+        words = r.choice(items)[1] or "a"
+        words = [r.choice([w, w, w, w, w, part()]) for w in words.split()]
+        if r.random() < 0.5:
+            swap = dict(zip(names, r.sample(names, 4)))
+            words = [swap.get(w, w) for w in words]
+        texts.append(" ".join([*(part() for _ in range(r.randint(0, 15))), *words, *(part() for _ in range(r.randint(0, 5))), *([shared] if i % 3 == 0 else [])]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_items(docs_of(spark, texts), bench).collect()
+    got = {x["doc_id"]: {y["item"]: (y["cover"], y["exact"]) for y in x["qs_items"]} for x in found}
+    want = {i: {str(k): v for k, v in items_by_brute_force(t, items).items()} for i, t in enumerate(texts)}
+    assert got == want and sum(map(len, want.values())) > 40
+
+
 # 6 n-gram Jaccard join
 
 
@@ -257,11 +330,16 @@ def near_copies(seed):
     return texts + [f"{common} {prose(500 + i, 12)}" for i in range(25)]
 
 
-@pytest.mark.parametrize("n,percent,block", [(4, 85, 400_000), (5, 80, 300)])
-def test_jaccard_is_exact(spark, n, percent, block):
+@pytest.mark.parametrize("n,percent,errors,sets,elements", [(4, 85, 0, 1000, 1_000_000), (5, 80, 0, 3, 300), (4, 85, 1, 2, 1000)])
+def test_jaccard_is_exact(spark, n, percent, errors, sets, elements):
     texts = near_copies(n)
+    r = random.Random(n)
+    walk = prose(9, 120).split()  # a chain of copies whose ends don't link, and one hub that few link with
+    for _ in range(60):
+        walk[r.randrange(len(walk))] = r.choice(WORDS) + "w"
+        texts.append(" ".join(walk))
     docs = docs_of(spark, texts)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, n=n, percent=percent, block=block).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, n=n, percent=percent, errors=errors, block_sets=sets, block_elements=elements).collect()}
     assert got == brute(texts, n, percent)
 
 
@@ -271,9 +349,9 @@ def test_jaccard_rows(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("level", [1, 2])
-def test_linked_sets_share_a_signature(level):
-    r = random.Random(level)
+@pytest.mark.parametrize("errors", [0, 1, 3])
+def test_linked_sets_share_a_signature(errors):
+    r = random.Random(errors)
     for percent in (80, 85, 95):
         plan = jaccard_join.Plan(percent)
         for _ in range(150):
@@ -286,10 +364,33 @@ def test_linked_sets_share_a_signature(level):
                     break
                 b = new
             if a != b:
-                s, t = (set(jaccard_join.signatures(np.array(sorted(x), np.uint64), plan, level).tolist()) for x in (a, b))
+                s, t = (set(jaccard_join.signatures(np.array(sorted(x), np.uint64), plan, errors).tolist()) for x in (a, b))
                 assert s & t
 
 
+def test_sketches_bound_the_difference_from_below():
+    r = np.random.default_rng(3)
+    for n in (1, 3, 15, 16, 17, 200, 5000):
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        for m in (0, 1, n // 10, n // 2):
+            b = np.unique(np.concatenate([a[m:], r.integers(0, 2**63, 2 * m + 1).astype(np.uint64)]))
+            x, y = jaccard_join.sketch(a), jaccard_join.sketch(b)
+            words = min(len(x), len(y))
+            apart = int(np.bitwise_count(jaccard_join.fold(x, words) ^ jaccard_join.fold(y, words)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+            assert jaccard_join.overlap(a, b) == len(np.intersect1d(a, b))
+
+
+def test_bitmap_has_no_false_negatives(spark):
+    rows = spark.range(5000).selectExpr("xxhash64(id) AS h")
+    keys = np.array([x[0] for x in rows.collect()], np.int64)
+    for most in (16, 27):
+        held = Bitmap(rows, F.col("h"), Scratch(spark, "bitmap"), most)
+        assert held.has(keys).all()
+        assert held.has(np.arange(100_000, dtype=np.int64) * 7919 * 10**9).mean() < (0.3 if most == 16 else 0.05)
+    assert Bitmap(rows.limit(0), F.col("h"), Scratch(spark, "bitmap")).has(keys).sum() == 0
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)]
@@ -375,45 +476,59 @@ def test_member_is_retried_from_its_offset():
 
 def test_lm_scores(spark):
     texts = [("alpha beta gamma delta " if i % 2 else "one two three four ") * (3 + i % 5) for i in range(60)] + EDGES
-    docs = docs_of(spark, texts).withColumn("good", F.col("doc_id") % 2 == 1)
-    models = lm_scoring.train(docs.where("doc_id < 60"), F.col("good"))
+    docs = docs_of(spark, texts)
+    models = lm_scoring.train(docs.where("doc_id < 60"), docs.where("doc_id % 2 = 1").select("doc_id"))
     got = {r["doc_id"]: r for r in lm_scoring.score(docs, models).collect()}
     assert all((got[i]["score"] < 0) == (i % 2 == 1) for i in range(60))
     assert [got[60 + i]["score"] for i in (0, 1, 2, 4)] == [None] * 4 and got[60]["n_tokens"] == 0
-    # counts by brute force
-    hashes, want = Hashes(seed=8), collections.Counter()
-    for t in texts:
-        word, pair, _ = lm_scoring.cells(t, hashes)
-        want.update(word.tolist())
-        want.update((pair + (1 << lm_scoring.WORDS)).tolist())
-    assert {r["cell"]: r["background"] for r in lm_scoring.counts(docs, "text", F.col("good")).collect()} == dict(want)
-    none = lm_scoring.train(empty(spark).withColumn("good", F.lit(True)), F.col("good"))
+    none = lm_scoring.train(empty(spark), empty(spark).select("doc_id"))
     assert lm_scoring.score(docs, none).count() == 68 and lm_scoring.score(empty(spark), models).count() == 0
-
-
-@pytest.mark.parametrize("hot", [(1 << 18, 1 << 19), (40, 60), (0, 0)])
-def test_lm_scores_are_those_of_real_ngrams(spark, hot):
-    """Far more words than cells of any fixed table hold without clashes; hot keys or not must not matter."""
-    r = random.Random(8)
-    texts = [" ".join(r.choice(WORDS) if r.random() < 0.5 else f"w{r.randrange(400_000)}" for _ in range(r.randint(1, 400))) for _ in range(1500)] + EDGES + [prose(1, 50)] * 3
-    good = lambda i: i % 3 == 0
-    docs = docs_of(spark, texts).withColumn("good", F.col("doc_id") % 3 == 0)
-    models = lm_scoring.train(docs, F.col("good"), hot_words=hot[0], hot_pairs=hot[1])
+    again = lm_scoring.score(docs.union(docs), models)
+    assert again.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("score").alias("m")).where("n <> 2 OR m > 1").count() == 0
+
+
+class Bigrams:
+    """One of the matched models, by dictionaries."""
+
+    def __init__(self, mine, whole, least, add=0.5, discount=0.75):
+        self.d = discount
+        words, pairs = (collections.Counter(x for w in texts for x in f(w)) for f in (lambda w: w, lambda w: zip(w, w[1:])) for texts in [whole])
+        self.n, self.nn = (collections.Counter(x for w in mine for x in f(w)) for f in (lambda w: w, lambda w: zip(w, w[1:])))
+        self.vocabulary = {w for w, c in words.items() if c >= least}
+        self.inventory = {p for p, c in pairs.items() if c >= least}
+        total = sum(self.n.values())
+        known = sum(self.n[w] for w in self.vocabulary)
+        size = total + add * (len(self.vocabulary) + 1)
+        self.p1 = collections.defaultdict(lambda: (total - known + add) / size, {w: (self.n[w] + add) / size for w in self.vocabulary})
+
+    def p(self, v, w):
+        of = [x for u, x in self.inventory if u == v] if v in self.vocabulary else []
+        if not of:
+            return self.p1[w]
+        more = max(1, sum(self.nn[v, x] > 0 for x in of))
+        p2 = lambda x: (max(self.nn[v, x] - self.d, 0) + self.d * more * self.p1[x]) / self.n[v] if self.n[v] else self.p1[x]
+        if w in of:
+            return p2(w)
+        return self.p1[w] * (1 - sum(map(p2, of))) / (1 - sum(self.p1[x] for x in of))
+
+
+@pytest.mark.parametrize("least,hot", [(5, 1 << 16), (2, 0), (3, 40)])
+def test_lm_losses_against_brute_force(spark, least, hot):
+    r = random.Random(least)
+    texts = [" ".join(r.choice(WORDS[:12]) if r.random() < 0.8 else f"w{r.randrange(60)}" for _ in range(r.randint(1, 40))) for _ in range(120)] + EDGES[:4] + ["a a a a", "Unseen"]
+    docs = docs_of(spark, texts)
+    models = lm_scoring.train(docs, docs.where("doc_id % 3 = 0").select("doc_id"), least=least, hot=hot)
     got = {x["doc_id"]: x for x in lm_scoring.score(docs, models).collect()}
-    split = [(t or "").encode().lower().split() for t in texts]
-    word, pair = ([collections.Counter(), collections.Counter()] for _ in range(2))
-    for i, w in enumerate(split):
-        for side in (0, 1) if good(i) else (1,):
-            word[side].update(w)
-            pair[side].update(zip(w, w[1:]))
-    size = len(word[1]) + 1
-    assert models.vocabulary == len(word[1]) > 100_000
+    split = [(t or "").lower().split() for t in texts]
+    sides = [Bigrams([w for i, w in enumerate(split) if i % 3 == 0], split, least), Bigrams(split, split, least)]
+    for model in sides:
+        for v in [WORDS[0], WORDS[5], "w1", "never"]:
+            assert sum(model.p(v, w) for w in [*model.vocabulary, "never"]) == pytest.approx(1)
     for i, w in enumerate(split):
         assert got[i]["n_tokens"] == len(w)
-        for side, name in enumerate(("loss_target", "loss_background")):
-            n, total = word[side], sum(word[side].values())
-            p = [(1 - 0.6 * (before is not None and n[before] > 0)) * (n[x] + 0.5) / (total + 0.5 * size) + (0.6 * pair[side][before, x] / n[before] if before is not None and n[before] else 0) for before, x in zip([None, *w], w)]
-            assert got[i][name] == (pytest.approx(-np.log(p).mean()) if w else None)
+        for model, name in zip(sides, ("loss_target", "loss_background")):
+            assert got[i][name] == (pytest.approx(-np.mean([np.log(model.p(v, x)) for v, x in zip([None, *w], w)])) if w else None)
+
 
 
 # 9 secrets
@@ -497,7 +612,7 @@ def test_line_dedup(spark):
     first = {}
     for d, t in enumerate(texts):
         for p, line in enumerate(t.split("\n") if t is not None else []):
-            if len(line) >= line_dedup.MIN_CHARS and line.strip(" "):
+            if line.strip(line_dedup.BLANK):
                 first.setdefault(line, (d, p))
     gone = {x for x in first if len(x) >= line_dedup.FUZZY_CHARS and any(len(y) >= line_dedup.FUZZY_CHARS and first[y] < first[x] and within_one(x, y) for y in first)}
     assert gone
@@ -509,3 +624,96 @@ def test_line_dedup(spark):
         assert got[d]["text"] == "\n".join(kept) and got[d]["n_removed"] == len(t.split("\n")) - len(kept)
     assert set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "id", "list", "first", "n_lines", "n_removed"}
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_line_dedup_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "ab\n\nthis line is here twice", 5, "n"), (1, "ab\n\nthis line is here twice", 5, "n"), (0, "ab", 6, "m"), (None, "q\r\n\r\nq", 7, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, qs_h string")
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["n_lines"], r["n_removed"], r["qs_h"]) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == [(-1, "q\r\n\r\nq", 3, 0, "m"), (0, "ab", 1, 0, "m"), (1, "", 3, 2, "n"), (1, "\nthis line is here twice", 3, 1, "n")]
+
+
+def test_line_dedup_of_very_long_lines(spark):
+    r = random.Random(8)
+    long = "".join(r.choice("abcdefgh ") for _ in range(60_000))
+    short = "".join(r.choice("abcdefgh ") for _ in range(2100))
+    texts = [long, long[:40_000] + "Z" + long[40_000:], long[:3] + "Z" + long[4:], long[:-1], long[:500] + "ZZ" + long[500:]]
+    texts += [short, *(short[:k] + short[k + 1 :] for k in (0, 700, 2099)), *(short[:k] + "Z" + short[k + 1 :] for k in (1, 1063, 1100, 2098))]
+    got = {x["doc_id"]: x["n_removed"] for x in line_dedup.dedup_lines(docs_of(spark, texts)).collect()}
+    assert got == {i: int(i not in (0, 4, 5)) for i in range(len(texts))}
+
+
+def test_variants_hash_alike_where_strings_are_alike(spark):
+    r = random.Random(1)
+    texts = ["".join(r.choice("abé") for _ in range(n)) for n in (1, 2, 32, 33, 34, 65, 97, 1025, 1026)]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    for t, gaps, swaps in docs.select("t", line_dedup._dropped(F.col("t"), True), line_dedup._dropped(F.col("t"), False)).collect():
+        want = spark.createDataFrame([(i, t[:i] + t[i + 1 :]) for i in range(len(t))], "i int, t string").select("i", line_dedup._whole(F.col("t"))).collect()
+        assert [x["place"] for x in gaps] == [x["place"] for x in swaps] == list(range(1, len(t) + 1))
+        assert [x["rest"] for x in gaps] == [w[1] for w in sorted(want)]
+        spots = sorted({0, len(t) - 1, *(r.randrange(len(t)) for _ in range(5))})
+        other = spark.createDataFrame([(i, t[:i] + "z" + t[i + 1 :]) for i in spots], "i int, t string").select("i", line_dedup._dropped(F.col("t"), False)).collect()
+        assert all(got[i]["rest"] == swaps[i]["rest"] for i, got in other)
+
+
+# 1, 2, 4, 7, 9: edges
+
+
+def test_adjacent_spellings_in_licences(spark):
+    texts = ["licence licence licence", "sub license sub license v2 v2 and or and or"]
+    forms = [r[0] for r in docs_of(spark, texts).orderBy("doc_id").select(licences.canonical(F.col("text"))).collect()]
+    assert forms == ["license license license", "sublicense sublicense version 2 version 2 andor andor"] == [licences.canonical_text(t) for t in texts]
+
+
+def test_media_of_odd_ids_and_no_rows(spark):
+    docs = spark.createDataFrame([("", "a"), (None, "b"), ("x", None), ("x", None)], "doc_id string, text string")
+    got = media.media_columns(docs)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or "", r["n_bytes"]) for r in got.collect()) == [(False, "", 1), (False, "x", 0), (False, "x", 0), (True, "", 1)]
+    assert media.media_columns(docs.limit(0)).columns == got.columns
+
+
+def test_every_language_is_learned_and_null_ids_have_a_side(spark):
+    docs = spark.createDataFrame([(None if i == 7 else i, f"w{i % 3} text{i % 3} here", f"l{i % 3}") for i in range(60)], "doc_id long, text string, lang string")
+    net = language.train(docs.union(docs), crc_mod("doc_id", 4) != 2)
+    assert net.langs == ["l0", "l1", "l2"]
+    assert docs.where(crc_mod("doc_id", 4).isNull() | crc_mod("doc_id", 5).isNull()).count() == 0
+
+
+def test_secrets_are_linear_and_read_more_forms():
+    grown = 'a = "hunter2hunter2"\n' + "a = a + a\n" * 1000 + "password = a"
+    assert [x[1:4] for x in secrets.scan_text(grown) if x[0] == "literal"] == [(5, 19, "password")]
+    chain = 'a0 = "x1y2z3w4"\n' + "".join(f'a{i} = a{i - 1} + "p{i}"\n' for i in range(1, 5000)) + "secret_key = a4999\npassword = a4999"
+    assert sum(x[0] == "literal" for x in secrets.scan_text(chain)) == 5000
+    for text, value in [('password: str = "hunter2hunter2"', "hunter2hunter2"), ('os.environ["API_KEY"] = "aB3xYz99Qq11"', "aB3xYz99Qq11"), ('client_token: Optional[str] = "q9W8e7R6t5Y4"', "q9W8e7R6t5Y4")]:
+        assert value in [text[s:e] for k, s, e, *_ in secrets.scan_text(text) if k == "literal"]
+
+
+def test_propagated_secrets_against_brute_force():
+    """Random programs of constants and sums; the literals that reach a sensitive name, by plain evaluation."""
+    for seed in range(60):
+        r, lines, known, at, want = random.Random(seed), [], {}, 0, {}
+        for _ in range(r.randint(1, 25)):
+            name = r.choice(["a", "b", "c", "plain", "password", "secret_key", "api_token"])
+            made, value, spans = [], "", []
+            at0 = at + len(name) + 3
+            for _ in range(r.randint(1, 3)):
+                if known and r.random() < 0.6:
+                    ref = r.choice(sorted(known))
+                    made.append(ref)
+                    value, spans = value + known[ref][0], spans + known[ref][1]
+                else:
+                    word = "".join(r.choice("abcXYZ0189") for _ in range(r.randint(1, 12)))
+                    start = at0 + len(" + ".join([*made, ""])) + 1
+                    made.append(f'"{word}"')
+                    value, spans = value + word, [*spans, (start, start + len(word))]
+            if len(value) > 900:
+                break
+            lines.append(f"{name} = " + " + ".join(made))
+            at += len(lines[-1]) + 1
+            known[name] = value, spans
+            score = secrets.name_score(name) * secrets.literal_score(value)
+            if score >= 0.5:
+                for span in spans:
+                    want[span] = max(want.get(span, 0), score)
+        got = {(s, e): score for kind, s, e, _, score, _ in secrets.scan_text("\n".join(lines)) if kind == "literal"}
+        assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
