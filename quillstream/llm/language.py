@@ -8,8 +8,9 @@ a filter bank is a table per place; for scoring, tables of neighbouring places a
 up to tables over byte pairs.
 
 Training takes at most `per_lang` labelled texts of each language (the first by hash of
-their id) and `per_text` windows of each; this bounds what reaches the driver. Every
-whole text is scored. Null texts and texts without a letter are `und` with score 0.
+their id) and `per_text` windows of each; with the number of languages, this bounds what reaches the driver. Every
+language of the labelled rows is learned. Every
+whole text is scored; of equally likely languages the first by name is taken. Null texts and texts without a letter are `und` with score 0.
 """
 
 from __future__ import annotations
@@ -110,20 +111,20 @@ def has_letter(text: str) -> bool:
     return bool(LETTER.search(text.encode()[:4096])) or any(map(str.isalpha, text))
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, per_text: int = 4, most_langs: int = 1000, window: int = 192) -> Net | None:
-    """A net from labelled rows where `learn` holds; None without any. The most_langs most frequent languages are learned."""
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1200, per_text: int = 4, window: int = 192) -> Net | None:
+    """A net from labelled rows where `learn` holds; None without any."""
     size = F.length(text_col)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & (size > 0)).withColumns({lang_col: F.col(lang_col).cast("string"), "qs_h": F.xxhash64(id_col)})
-    held = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count("*")).orderBy(F.desc("count(1)"), lang_col).limit(most_langs).collect()}
+    held = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count("*")).collect()}  # a row for each language
     if not held:
         return None
     # A bound on the hash keeps somewhat more than per_lang rows of each language before any are moved.
     share = F.create_map(*[F.lit(x) for lang, n in held.items() for x in (lang, min(1.0, (1.5 * per_lang + 50) / n))])
     rows = rows.where(F.pmod("qs_h", F.lit(1 << 20)) < F.element_at(share, F.col(lang_col)) * (1 << 20))
     order = Window.partitionBy(lang_col).orderBy(F.pmod("qs_h", F.lit(1 << 20)), "qs_h", id_col)
-    picked = rows.select(lang_col, id_col, text_col).withColumn("qs_h", F.xxhash64(id_col)).withColumn("qs_rank", F.row_number().over(order)).where(F.col("qs_rank") <= per_lang)
     spots = F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda i: F.substring(F.col(text_col), (F.floor(i * F.greatest(size - window, F.lit(0)) / max(1, per_text - 1)) + 1).cast("int"), F.lit(window)))
-    got = picked.select(lang_col, F.xxhash64(id_col).alias("h"), F.array_distinct(spots).alias("parts")).collect()
+    rows = rows.select(lang_col, id_col, "qs_h", F.array_distinct(spots).alias("parts"))  # whole texts are not moved
+    got = rows.withColumn("qs_rank", F.row_number().over(order)).where(F.col("qs_rank") <= per_lang).select(lang_col, "qs_h", "parts").collect()
     langs = sorted(held)
     x, y = [], []
     for lang, _, parts in sorted(got, key=lambda r: (r[1], r[0])):

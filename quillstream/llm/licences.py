@@ -29,6 +29,9 @@ EQUAL = (
     ("fulfil", "fulfill"), ("analogue", "analog"), ("wilful", "willful"), ("percent", "per cent"), ("and or", "andor"), ("v3", "version 3"), ("v2", "version 2"),
 )
 
+#: The same for texts with two blanks between words, where each word has its own on both sides.
+WIDE = tuple((old.replace(" ", "  "), new.replace(" ", "  ")) for old, new in EQUAL)
+
 _PERMIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"
 _AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 _ISC_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
@@ -58,20 +61,20 @@ def canonical_text(text: str) -> str:
     """The canonical form, in Python: for known texts and tests."""
     text = text.translate(str.maketrans(UPPER, LOWER))
     text = "\n".join(x for x in text.split("\n") if not re.search(COPYRIGHT, x))
-    text = f" {re.sub('[^a-z0-9' + chr(0x80) + '-' + chr(0x10FFFF) + ']+', ' ', text).strip(' ')} "
-    for old, new in EQUAL:
+    text = f" {re.sub('[^a-z0-9' + chr(0x80) + '-' + chr(0x10FFFF) + ']+', '  ', text).strip(' ')} "
+    for old, new in WIDE:
         text = text.replace(f" {old} ", f" {new} ")
-    return text.strip(" ")
+    return text.replace("  ", " ").strip(" ")
 
 
 def canonical(text: Column) -> Column:
     """The canonical form as a Spark expression."""
     text = F.translate(text, UPPER, LOWER)
     text = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(COPYRIGHT)), "\n")
-    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, PUNCTUATION, " ")), F.lit(" "))
-    for old, new in EQUAL:
+    text = F.concat(F.lit(" "), F.trim(F.regexp_replace(text, PUNCTUATION, "  ")), F.lit(" "))
+    for old, new in WIDE:
         text = F.replace(text, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(text)
+    return F.trim(F.replace(text, F.lit("  "), F.lit(" ")))
 
 
 def known_digests(licences=KNOWN) -> dict[str, str]:
@@ -98,16 +101,16 @@ def sql(name: str = "documents") -> str:
     def form(text: str) -> str:
         text = f"translate({text}, {quote(UPPER)}, {quote(LOWER)})"
         text = f"array_to_string(list_filter(string_split({text}, chr(10)), lambda x: NOT regexp_matches(x, {quote(COPYRIGHT)})), chr(10))"
-        text = f"(' ' || trim(regexp_replace({text}, {quote(PUNCTUATION)}, ' ', 'g'), ' ') || ' ')"
-        for old, new in EQUAL:
+        text = f"(' ' || trim(regexp_replace({text}, {quote(PUNCTUATION)}, '  ', 'g'), ' ') || ' ')"
+        for old, new in WIDE:
             text = f"replace({text}, ' {old} ', ' {new} ')"
-        return f"trim({text}, ' ')"
+        return f"trim(replace({text}, '  ', ' '), ' ')"
 
     rows = ", ".join(f"({quote(d)}, {quote(s)})" for d, s in known_digests().items())
     return f"""WITH known(digest, spdx) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS uid, doc_id, text, {form('text')} AS form FROM {name}),
 l AS (SELECT uid, unnest(string_split(text, chr(10))) AS line FROM d),
-n AS (SELECT uid, spdx FROM (SELECT uid, sha256({form('line')}) AS h FROM l WHERE contains(lower(line), 'licen') AND length(line) <= 300) JOIN known ON h = digest),
+n AS (SELECT uid, spdx FROM (SELECT uid, sha256({form('line')}) AS h FROM l WHERE contains(lower(line), 'licen')) JOIN known ON h = digest),
 g AS (SELECT uid, string_agg(DISTINCT spdx, ',' ORDER BY spdx) AS notices FROM n GROUP BY uid)
 SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest, known.spdx AS license, coalesce(notices, '') AS notices
 FROM d LEFT JOIN known ON CASE WHEN form <> '' THEN sha256(form) END = known.digest LEFT JOIN g USING (uid)"""

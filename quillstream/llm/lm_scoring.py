@@ -1,18 +1,23 @@
 """Cross-entropy difference: matched target and background n-gram models.
 
-Both models are interpolated bigram models over one vocabulary: the words of the documents. A word's key is its hash
-(WORDS bits), a bigram's the hash of both words. Counts come from all documents (background) and
-from the target documents, summed by task, then by key, into a written table that grows with the number of distinct
-n-grams. A document's score is the mean per-token loss under the target model less that under the
-background model: the lower, the more it resembles the target.
-
-Counts meet the documents by key. Only the `HOT_WORDS` words and `HOT_PAIRS` bigrams at most that are the most frequent
-are sent to the executors, so that no frequent key is shuffled; the bigrams of a document that need any other
-count are joined to the table. The result is the same whatever these bounds are.
-
-The models are matched: same vocabulary, same smoothing, same interpolation; the target's
-counts are part of the background's. Null texts and texts without words have 0 tokens
-and a null score. Without target rows all losses under the target are those of a uniform model.
+Both models are bigram models with one vocabulary and one inventory: the words and the pairs of neighbouring words that occur
+`least` times or more in all documents (the background). All other words are one class, the unknown word. With
+n(.) a model's own counts, N its tokens, V the vocabulary's size, d the discount and N+(v) the number of v's pairs with n > 0, 1 at least:
+
+* p1(w) = (n(w) + add) / (N + add * (V + 1)), the unknown word included.
+* p(w | v) = (max(n(v w) - d, 0) + d * N+(v) * p1(w)) / n(v) for pairs of the inventory (p1(w) where n(v) = 0).
+* p(w | v) = a(v) * p1(w) for all others, where a(v) makes the sum over w 1. After an unknown word and at the start a = 1.
+
+A document's score is the mean per-token loss -ln p under the target model less that under the
+background model: the lower, the more it resembles the target. Losses add up over words and pairs of the inventory, so
+a document's loss is a sum over its n-grams of values that stand in one table, by key. That table grows with the
+corpus. Its `hot` most frequent rows are sent to the executors, so that no frequent key is shuffled; all others meet the
+documents' n-grams by a join on the key. Results do not depend on `hot`. Bitmaps of bounded size keep n-grams that are not in
+the table from being moved. Keys are 64-bit hashes.
+
+The counts are summed by task, then by key: the background's over all documents, the target's over those of the ids given.
+Null texts and texts without words have 0 tokens
+and a null score. Without target rows the target's p1 is uniform.
 Repeated rows count each time. Extra columns are ignored.
 """
 
@@ -22,176 +27,178 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, Scratch, windows
+from .common import Bitmap, Hashes, Scratch, mix
 
-#: Bits of a key; a bigram's comes after all those of words.
-WORDS = 62
-HOT_WORDS, HOT_PAIRS = 1 << 18, 1 << 19
+LEAST, HOT = 5, 1 << 16
+#: `prev` of rows that count words, and of the row that counts tokens. Word keys are not negative.
+WORD, TOKENS = -1, -2
 #: Tokens handled at a time in a task.
 CHUNK = 500_000
 
 
-def cells(text: str | None, hashes: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word keys, and the keys of each word with its predecessor and of the predecessor alone (the first follows the start)."""
-    words = text.encode().lower().split() if text else []
-    h = np.concatenate([[np.uint64(1)], hashes.of(words)]) if words else np.empty(0, np.uint64)
-    word = (h >> np.uint64(64 - WORDS)).astype(np.int64)
-    pair = (windows(h, 2) >> np.uint64(64 - WORDS)).astype(np.int64)
-    return word[1:], pair, word[:-1]
+def words_of(text: str | None, hashes: Hashes) -> np.ndarray:
+    """Keys of a text's words, 0 to 2^63 - 1."""
+    found = text.encode().lower().split() if text else []
+    return (hashes.of(found) >> np.uint64(1)).astype(np.int64) if found else np.empty(0, np.int64)
 
 
-def counts(docs: DataFrame, text_col: str, target: Column) -> DataFrame:
-    """(cell, target, background): summed counts; cell < 2^WORDS for words, the rest for bigrams."""
+def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Keys of pairs, all negative, so none is a word's."""
+    with np.errstate(over="ignore"):
+        made = mix(mix(prev.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ word.view(np.uint64))
+    return (made | np.uint64(1 << 63)).view(np.int64)
 
-    def summed(held, mine):
-        cell, at = np.unique(np.concatenate(held), return_inverse=True)
-        own = np.repeat(mine, [len(h) for h in held])
-        sums = (np.bincount(at, own, len(cell)).astype(np.int64), np.bincount(at, minlength=len(cell)).astype(np.int64))
-        for s in range(0, len(cell), 200_000):
-            i = slice(s, s + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[i]), pa.array(sums[0][i]), pa.array(sums[1][i])], ["cell", "target", "background"])
+
+def counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(prev, word, n): occurrences of words (prev = WORD), of pairs, and of tokens (prev = TOKENS), summed within a task's stretches."""
+
+    def summed(held):
+        word = np.concatenate(held)
+        prev = np.concatenate([np.append(np.int64(TOKENS), h[:-1]) for h in held])  # no pair ends at a text's first word
+        inside = prev != TOKENS
+        prev, second = prev[inside], word[inside]
+        order = np.lexsort((second, prev))
+        prev, second = prev[order], second[order]
+        new = np.flatnonzero(np.r_[True, (prev[1:] != prev[:-1]) | (second[1:] != second[:-1])]) if len(prev) else np.empty(0, np.int64)
+        single, n = np.unique(word, return_counts=True)
+        columns = (np.concatenate([[TOKENS], np.full(len(single), WORD), prev[new]]), np.concatenate([[0], single, second[new]]), np.concatenate([[len(word)], n, np.diff(np.append(new, len(prev)))]))
+        for s in range(0, len(columns[0]), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 200_000].astype(np.int64)) for c in columns], ["prev", "word", "n"])
 
     def run(batches):
-        hashes, held, mine, size = Hashes(seed=8), [], [], 0
+        hashes, held, size = Hashes(seed=8), [], 0
         for batch in batches:
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                word, pair, _ = cells(text, hashes)
-                held += [word, pair + (1 << WORDS)]
-                mine += [good, good]
-                size += 2 * len(word)
+            for text in batch.column(0).to_pylist():
+                word = words_of(text, hashes)
+                if len(word):
+                    held.append(word)
+                    size += len(word)
                 if size > 8 * CHUNK:
-                    yield from summed(held, mine)
-                    held, mine, size = [], [], 0
+                    yield from summed(held)
+                    held, size = [], 0
         if size:
-            yield from summed(held, mine)
+            yield from summed(held)
 
-    made = docs.select(text_col, F.coalesce(target, F.lit(False)).alias("qs_target")).mapInArrow(run, "cell bigint, target bigint, background bigint")
-    return made.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return docs.select(text_col).mapInArrow(run, "prev bigint, word bigint, n bigint")
 
 
 @dataclass
 class Models:
-    """Counts by key, the number of distinct words, the tokens of target and background; the frequent keys' counts by rising key."""
+    """The table: (key, xt, xb, at, ab), the losses that an n-gram adds as a word or pair, and as the context of the next word. Losses of an unknown word. The most frequent rows."""
 
     table: DataFrame
-    vocabulary: int
-    tokens: tuple[int, int]
-    hot: tuple[np.ndarray, np.ndarray, np.ndarray]
-    mix: float = 0.6
-    add: float = 0.5
+    known: Bitmap
+    unknown: tuple[float, float]
+    hot: dict[str, np.ndarray]
 
 
-def train(docs: DataFrame, target: Column, text_col: str = "text", hot_words: int = HOT_WORDS, hot_pairs: int = HOT_PAIRS) -> Models:
-    """Models from all rows; `target` marks the target's."""
+def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, hot: int = HOT, add: float = 0.5, discount: float = 0.75) -> Models:
+    """Models of all rows and of those whose id is in `target`, a table of one column of ids."""
     scratch = Scratch(docs.sparkSession, "lm-counts")
-    table = scratch.keep(scratch.save(counts(docs, text_col, target), "counts"))
-    of_pair = F.col("cell") >= F.lit(1 << WORDS)
-    level = F.floor(8 * F.log2("background"))  # some hundreds of levels at most
-    sizes = table.groupBy(of_pair.alias("of_pair"), level.alias("level")).agg(F.count("*").alias("n"), F.sum("target").alias("target"), F.sum("background").alias("background")).collect()
-    words = [r for r in sizes if not r["of_pair"]]
-
-    def least(rows, most):
-        """The least level from which on there are no more than `most` keys."""
-        found = 1 << 30
-        for r in sorted(rows, key=lambda r: -r["level"]):
-            most -= r["n"]
-            if most < 0:
-                break
-            found = r["level"]
-        return found
-
-    bounds = [least(words, hot_words), least([r for r in sizes if r["of_pair"]], hot_pairs)]
-    hot = table.where(level >= F.when(of_pair, bounds[1]).otherwise(bounds[0])).toArrow()  # at most hot_words + hot_pairs rows
-    at = np.argsort(hot.column("cell").to_numpy())
-    hot = tuple(hot.column(c).to_numpy()[at] for c in ("cell", "target", "background"))
-    return Models(table, sum(r["n"] for r in words), (sum(r["target"] for r in words), sum(r["background"] for r in words)), hot)
-
-
-def _lookup(hot, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whether keys are among the frequent ones, and their counts."""
-    cell, target, background = hot
-    if not len(cell):
-        return np.zeros(len(key), bool), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-    at = np.minimum(np.searchsorted(cell, key), len(cell) - 1)
-    known = cell[at] == key
-    return known, np.where(known, target[at], 0), np.where(known, background[at], 0)
+    ids = target.toDF("qs_id").where("qs_id IS NOT NULL").distinct()
+    few = Bitmap(ids, F.xxhash64("qs_id"), scratch).keep(docs.select(id_col, text_col), F.xxhash64(id_col))
+    few = few.join(ids.hint("merge"), F.col(id_col) == F.col("qs_id"), "left_semi")  # the ids grow with the corpus; of the texts hardly more than these move
+    none = F.lit(0).cast("bigint")
+    both = counts(docs, text_col).select("prev", "word", none.alias("t"), F.col("n").alias("b")).unionByName(counts(few, text_col).select("prev", "word", F.col("n").alias("t"), none.alias("b")))
+    kept = both.groupBy("prev", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).where((F.col("b") >= least) | (F.col("prev") == TOKENS))
+    kept = scratch.save(kept, "counts")
+    row = kept.where(F.col("prev") == TOKENS).first()
+    total = (row["t"], row["b"]) if row else (0, 0)
+    words = kept.where(F.col("prev") == WORD).drop("prev")
+    size, *seen = words.agg(F.count("*"), F.coalesce(F.sum("t"), none), F.coalesce(F.sum("b"), none)).first()
+    whole = [n + add * (size + 1) for n in total]
+    unknown = [-float(np.log((n - s + add) / w)) for n, s, w in zip(total, seen, whole)]
+    for side, w in zip("tb", whole):
+        words = words.withColumn(f"p{side}", (F.col(side) + add) / w)
+    pairs = kept.where(F.col("prev") >= 0).join(words.select("word", "pt", "pb").hint("merge"), "word")
+    held = {s: (F.greatest(F.col(s) - discount, F.lit(0.0)), F.greatest(F.sum((F.col(s) > 0).cast("int")), F.lit(1)).alias(f"m{s}"), F.sum(f"p{s}").alias(f"s{s}")) for s in "tb"}
+    sums = pairs.groupBy("prev").agg(*(c for s in "tb" for c in (F.sum(held[s][0]).alias(f"g{s}"), *held[s][1:])))
+    of = words.select(F.col("word").alias("prev"), F.col("t").alias("nt"), F.col("b").alias("nb"))
+    contexts = sums.join(of.hint("merge"), "prev")
+    for s in "tb":
+        spent = F.when(F.col(f"n{s}") > 0, (F.col(f"g{s}") + discount * F.col(f"m{s}") * F.col(f"s{s}")) / F.col(f"n{s}")).otherwise(F.col(f"s{s}"))
+        contexts = contexts.withColumn(f"a{s}", (1 - spent) / (1 - F.col(f"s{s}")))
+    contexts = scratch.save(contexts, "contexts")
+    pairs = pairs.join(contexts.select("prev", "nt", "nb", "mt", "mb", "at", "ab").hint("merge"), "prev")
+
+    def extra(s):  # what a pair's loss is beyond those of its word and of its context
+        p = F.when(F.col(f"n{s}") > 0, (held[s][0] + discount * F.col(f"m{s}") * F.col(f"p{s}")) / F.col(f"n{s}")).otherwise(F.col(f"p{s}"))
+        return F.log(F.col(f"a{s}")) + F.log(F.col(f"p{s}")) - F.log(p)
+
+    def keyed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(pair_key(batch.column(0).to_numpy(), batch.column(1).to_numpy())), *batch.columns[2:]], ["key", "b", "xt", "xb"])
+
+    pairs = pairs.select("prev", "word", "b", extra("t").alias("xt"), extra("b").alias("xb")).mapInArrow(keyed, "key bigint, b bigint, xt double, xb double")
+    after = contexts.select("prev", "at", "ab").hint("merge")
+    words = words.join(after, F.col("word") == F.col("prev"), "left")
+    words = words.select(F.col("word").alias("key"), "b", *(( -F.log(f"p{s}") - u).alias(f"x{s}") for s, u in zip("tb", unknown)), *((-F.log(F.coalesce(f"a{s}", F.lit(1.0)))).alias(f"a{s}") for s in "tb"))
+    table = scratch.keep(scratch.save(words.unionByName(pairs.withColumns({"at": F.lit(0.0), "ab": F.lit(0.0)})), "table"))
+    # the most frequent rows, from a histogram of some hundreds of levels at most
+    level = F.floor(8 * F.log2("b"))
+    from_level, left = 1 << 30, hot
+    for r in sorted(table.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        from_level = r["level"]
+    rows = table.where(level >= from_level).drop("b").toArrow()  # `hot` rows at most
+    at = np.argsort(rows.column("key").to_numpy())
+    return Models(table, Bitmap(table, F.col("key"), scratch), tuple(unknown), {c: rows.column(c).to_numpy()[at] for c in rows.column_names})
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, loss_target, loss_background, score) of every row."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    sent = spark.sparkContext.broadcast(models.hot)
-    mix, add, tokens, size = models.mix, models.add, models.tokens, models.vocabulary + 1  # one for words never seen
-    scratch = Scratch(spark, "lm-scores")
-    names = ["id", "uid", "n", "pair", "word", "prev", "wt", "wb", "pt", "pb", "lt", "lb"]
-
-    def loss(pair, prev, word, total):
-        held = np.where(prev > 0, mix, 0.0)
-        share = np.divide(pair, prev, out=np.zeros(len(pair)), where=prev > 0)
-        return -np.log(held * share + (1 - held) * (word + add) / (total + add * size))
-
-    def made(ids, uids, parts, arrow_id):
-        """A row for each document with what the frequent keys settle, and one for each of its other bigrams."""
-        lens = np.array([len(p[0]) for p in parts])
-        word, pair, prev = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        pair = pair + (1 << WORDS)
-        doc = np.repeat(np.arange(len(lens)), lens)
-        first = np.zeros(len(doc), bool)
-        first[(np.cumsum(lens) - lens)[lens > 0]] = True
-        word_known, wt, wb = _lookup(sent.value, word)
-        prev_known, pt, pb = (np.where(first, b, np.roll(a, 1)) if len(a) else a for a, b in ((word_known, True), (wt, 0), (wb, 0)))
-        pair_known, ct, cb = _lookup(sent.value, pair)
-        # the start is no word and has no counts: a first word's loss needs its own count only
-        done = word_known & (first | (prev_known & pair_known))
-        sums = [np.bincount(doc[done], loss(c[done], p[done], w[done], n), len(lens)).astype(float) for c, p, w, n in ((ct, pt, wt, tokens[0]), (cb, pb, wb, tokens[1]))]
+    sent, known = spark.sparkContext.broadcast(models.hot), models.known
+    names = ["id", "uid", "key", "n", "last", "lt", "lb"]
+
+    def made(ids, uids, texts):
+        """A row for each document with its tokens and what the frequent keys add, and one for each of its other n-grams that may be in the table."""
+        hot, lens = sent.value, np.array([len(w) for w in texts])
+        word, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), lens)
+        ends = np.zeros(len(word), np.int64)
+        ends[np.cumsum(lens)[lens > 0] - 1] = 1
+        inside = np.flatnonzero(ends == 0)
+        key = np.concatenate([word, pair_key(word[inside], word[inside + 1])])
+        doc, ends = np.concatenate([doc, doc[inside]]), np.concatenate([ends, np.zeros(len(inside), np.int64)])
+        at = np.minimum(np.searchsorted(hot["key"], key), max(0, len(hot["key"]) - 1))
+        done = hot["key"][at] == key if len(hot["key"]) else np.zeros(len(key), bool)
+        sums = [np.bincount(doc[done], hot[x][at[done]] + hot[a][at[done]] * (1 - ends[done]), len(lens)) for x, a in (("xt", "at"), ("xb", "ab"))]
         none = lambda n, t=pa.int64(): pa.nulls(n, t)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(uids), pa.array(lens), *[none(len(lens))] * 7, pa.array(sums[0]), pa.array(sums[1])], names)
-        at = np.flatnonzero(~done)
-        at = at[np.lexsort((pair[at], doc[at], first[at]))]
-        new = np.ones(len(at), bool)
-        new[1:] = (pair[at][1:] != pair[at][:-1]) | (doc[at][1:] != doc[at][:-1]) | (first[at][1:] != first[at][:-1])
-        n = np.diff(np.append(np.flatnonzero(new), len(at)))
-        at = at[new]
-        for s in range(0, len(at), 100_000):
-            i = at[s : s + 100_000]
-            column = lambda x, gone=None: pa.array(x[i], mask=None if gone is None else gone[i])
-            yield pa.RecordBatch.from_arrays([none(len(i), arrow_id), pa.array(uids[doc[i]]), pa.array(n[s : s + 100_000]), column(pair), column(word, word_known), column(prev, prev_known), column(wt), column(wb), column(pt), column(pb), *[none(len(i), pa.float64())] * 2], names)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(uids), none(len(lens)), pa.array(lens), none(len(lens)), pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float))], names)
+        left = np.flatnonzero(~done)
+        left = left[known.has(key[left])]
+        left = left[np.lexsort((key[left], doc[left]))]
+        new = np.flatnonzero(np.r_[True, (key[left][1:] != key[left][:-1]) | (doc[left][1:] != doc[left][:-1])]) if len(left) else left
+        n, last = np.diff(np.append(new, len(left))), np.add.reduceat(ends[left], new) if len(left) else new
+        left = left[new]
+        for s in range(0, len(left), 100_000):
+            i = slice(s, s + 100_000)
+            m = len(left[i])
+            yield pa.RecordBatch.from_arrays([none(m, ids.type), pa.array(uids[doc[left[i]]]), pa.array(key[left[i]]), pa.array(n[i]), pa.array(last[i]), none(m, pa.float64()), none(m, pa.float64())], names)
 
     def run(batches):
         hashes = Hashes(seed=8)
         for batch in batches:
-            uids, start, parts, held = batch.column(2).to_numpy(), 0, [], 0
+            uids, start, texts, held = batch.column(2).to_numpy(), 0, [], 0
             for k, text in enumerate(batch.column(1).to_pylist()):
-                parts.append(cells(text, hashes))
-                held += len(parts[-1][0])
+                texts.append(words_of(text, hashes))
+                held += len(texts[-1])
                 if held > CHUNK or k == batch.num_rows - 1:
-                    yield from made(batch.column(0).slice(start, k + 1 - start), uids[start : k + 1], parts, batch.column(0).type)
-                    start, parts, held = k + 1, [], 0
-
-    # the numbers hold within the written table, where a document's rows all come from one task
-    rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("uid"))
-    rows = scratch.save(rows.mapInArrow(run, f"id {kind}, uid bigint, n bigint, pair bigint, word bigint, prev bigint, wt bigint, wb bigint, pt bigint, pb bigint, lt double, lb double"), "rows")
-    base, rest = rows.where("pair IS NULL").select("uid", "id", F.col("n").alias("n_tokens"), F.col("lt").alias("base_t"), F.col("lb").alias("base_b")), rows.where("pair IS NOT NULL").drop("id", "lt", "lb")
-    table = models.table.select(F.col("cell").alias("qs_cell"), F.col("target").alias("qs_t"), F.col("background").alias("qs_b"))
-
-    def fill(frame, key, t, b):
-        got = frame.drop(t, b).join(table.where(F.col("qs_cell") < F.lit(1 << WORDS)), F.col(key) == F.col("qs_cell"), "left")
-        return got.withColumns({t: F.coalesce("qs_t", F.lit(0)), b: F.coalesce("qs_b", F.lit(0))}).drop("qs_cell", "qs_t", "qs_b")
-
-    word, prev = F.col("word").isNotNull(), F.col("prev").isNotNull()
-    both = fill(fill(rest.where(word & prev), "word", "wt", "wb"), "prev", "pt", "pb")
-    rest = rest.where(~word & ~prev).unionByName(fill(rest.where(word & ~prev), "word", "wt", "wb")).unionByName(fill(rest.where(~word & prev), "prev", "pt", "pb")).unionByName(both)
-    rest = rest.select("uid", "n", "pair", "wt", "wb", "pt", "pb").join(table.where(F.col("qs_cell") >= F.lit(1 << WORDS)), F.col("pair") == F.col("qs_cell"), "left")
-
-    def side(count, before, own, total):
-        held = F.when(F.col(before) > 0, F.lit(mix) * F.coalesce(count, F.lit(0)) / F.col(before)).otherwise(0.0)
-        left = F.when(F.col(before) > 0, 1 - mix).otherwise(1.0)
-        return F.sum(-F.col("n") * F.log(held + left * (F.col(own) + add) / (total + add * size)))
-
-    tail = rest.groupBy("uid").agg(side("qs_t", "pt", "wt", tokens[0]).alias("rest_t"), side("qs_b", "pb", "wb", tokens[1]).alias("rest_b"))
-    mean = lambda a, b: F.when(F.col("n_tokens") > 0, (F.col(a) + F.coalesce(b, F.lit(0.0))) / F.col("n_tokens"))
-    out = base.join(tail, "uid", "left").select(F.col("id").alias(id_col), "n_tokens", mean("base_t", "rest_t").alias("loss_target"), mean("base_b", "rest_b").alias("loss_background"))
-    return scratch.keep(out.withColumn("score", F.col("loss_target") - F.col("loss_background")))
+                    yield from made(batch.column(0).slice(start, k + 1 - start), uids[start : k + 1], texts)
+                    start, texts, held = k + 1, [], 0
+
+    rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("uid")).mapInArrow(run, f"id {kind}, uid bigint, key bigint, n bigint, last bigint, lt double, lb double")
+    # a document's own row has no key: it takes one of its own, so that these rows spread, and nothing of the table
+    rows = rows.withColumns({"own": F.col("key").isNull(), "key": F.coalesce("key", F.xxhash64("uid"))})
+    table = models.table.select(F.col("key").alias("qs_key"), "xt", "xb", "at", "ab")
+    met = rows.join(table.hint("merge"), F.col("key") == F.col("qs_key"), "left")
+    adds = lambda s: F.sum(F.when(F.col("own"), F.col(f"l{s}")).otherwise(F.coalesce(F.col("n") * F.col(f"x{s}") + (F.col("n") - F.col("last")) * F.col(f"a{s}"), F.lit(0.0))))
+    sums = met.groupBy("uid").agg(F.max("id").alias("id"), F.max(F.when(F.col("own"), F.col("n"))).alias("n_tokens"), adds("t").alias("st"), adds("b").alias("sb"))
+    mean = lambda s, u: F.when(F.col("n_tokens") > 0, F.col(f"s{s}") / F.col("n_tokens") + F.lit(u))
+    out = sums.select(F.col("id").alias(id_col), "n_tokens", mean("t", models.unknown[0]).alias("loss_target"), mean("b", models.unknown[1]).alias("loss_background"))
+    return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))

@@ -75,7 +75,7 @@ def write_archives(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
                 for key, text in zip(ids, texts):
-                    info = zipfile.ZipInfo(json.dumps([n, "" if key is None else str(key), len(text or b"")]))
+                    info = zipfile.ZipInfo(json.dumps([n, key, len(text or b"")]))
                     info.compress_type = zipfile.ZIP_DEFLATED
                     out.writestr(info, wav(payload_of(text)))
                     n += 1
@@ -241,7 +241,7 @@ def features(members: DataFrame) -> DataFrame:
             rows = []
             for name, media, error in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 _, key, n = json.loads(name)
-                row = dict.fromkeys(kinds) | {"doc_id": key or None, "n_bytes": n, "error": error}
+                row = dict.fromkeys(kinds) | {"doc_id": key, "n_bytes": n, "error": error}
                 if media.is_valid:
                     media = media.as_py()
                     data = samples(media)
@@ -256,11 +256,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Stores every text as media, reads it back and computes the features; an unreadable member fails the query."""
     scratch = Scratch(docs.sparkSession, "media")
     folder = f"{scratch.path}/archives"
-    written = scratch.save(write_archives(docs, folder, id_col, text_col), "manifest")
+    scratch.save(write_archives(docs, folder, id_col, text_col), "manifest")
     kind = docs.schema[id_col].dataType.simpleString()
     members = read_archives(docs.sparkSession, folder)
     out = features(members).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", id_col)
-    if not written.limit(1).count():
-        return scratch.keep(out)
     bad = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("unreadable member: "), F.col("error"))).cast("string")).otherwise(F.col("feature"))
     return scratch.keep(out.withColumn("feature", bad).drop("error"))

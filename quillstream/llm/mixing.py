@@ -8,8 +8,9 @@ pseudorandom permutation in each pass over the blocks. So no block is taken once
 more than another before all have been, and blocks are found by joining on
 (source, block).
 
-Positions come from two levels of sums (hash buckets of a source, then documents of
-a bucket), so a source with a third of all rows is spread over many tasks.
+Positions come from three levels of sums (shelves of 1,024 hash buckets of a source, buckets, documents of
+a bucket), so a source with a third of all rows is spread over many tasks. Slots are drawn in two levels, groups of `GROUP` shards and
+their shards, and made in as many tasks as their number asks for.
 
 Null texts have size 0 and are taken 0 words; a null source is a source of its own
 and comes last. Repeated rows count as documents of their own. An empty table gives
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import WORD_RE, Scratch, mix
 
 WEIGHTS = (5, 2, 1)
+#: Shards whose slots are drawn in one step; slots that a task makes.
+GROUP, TASK_SLOTS = 4096, 1 << 18
 
 
 def permute(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -55,7 +58,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFram
 
     Shares follow the weights; what a source can't take beyond `most` times its size
     goes to the others by weight. The fill level is found from running sums over the
-    sources in the order in which they fill up. There is one row per source here.
+    sources in the order in which they fill up. There is one row per source here, and all sources in one task: a corpus has far fewer sources than documents.
     """
     everything = Window.partitionBy(F.lit(0))
     ranked = sizes.withColumn("src", F.row_number().over(everything.orderBy(F.col("source").isNull(), "source")) - 1)
@@ -92,27 +95,41 @@ class Mixture:
         rows, = sized.agg(F.count("*")).first()
         buckets = max(64, -(-rows // bucket_rows))
         keyed = sized.join(self.sources.select("src", F.col("source").alias("name"), "source_size", "target"), sized.source.eqNullSafe(F.col("name"))).drop("name")
-        keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)))
-        sums = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("held"))
-        over = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select(F.col("src").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("held").over(over), F.lit(0)).alias("base"))
+        keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "mark"), F.lit(buckets)))
+        sums = keyed.groupBy("src", "bucket").agg(F.sum("size").alias("held")).withColumn("shelf", F.floor(F.col("bucket") / 1024))
+        before = lambda w: F.coalesce(F.sum("held").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        shelves = sums.groupBy("src", "shelf").agg(F.sum("held").alias("held"))
+        shelves = shelves.select(F.col("src").alias("s0"), F.col("shelf").alias("h0"), before(Window.partitionBy("src").orderBy("shelf")).alias("low"))
+        sums = sums.select(F.col("src").alias("s"), F.col("bucket").alias("b"), "shelf", before(Window.partitionBy("src", "shelf").orderBy("bucket")).alias("high"))
+        sums = sums.join(shelves, (F.col("s") == F.col("s0")) & (F.col("shelf") == F.col("h0"))).select("s", "b", (F.col("low") + F.col("high")).alias("base"))
         inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "mark", "uid").rowsBetween(Window.unboundedPreceding, -1)
         placed = keyed.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         placed = placed.join(sums, (placed.src == sums.s) & (placed.bucket == sums.b))
         self.placed = placed.select("uid", "doc_id", "source", "src", "size", "source_size", "target", (F.col("base") + F.col("inner")).alias("start"))
 
     def shards(self) -> DataFrame:
-        """(src, blocks, shard, n, first): how many slots of a source each shard gets, drawn multinomially."""
+        """(src, blocks, shard, n, first): how many slots of a source each shard gets, drawn multinomially: first for groups of shards, then within them."""
         total, = self.sources.agg(F.sum("slots")).first()
         count, seed = max(1, -(-int(total or 0) // self.shard_slots)), self.seed
+        self.tasks = max(1, -(-int(total or 0) // TASK_SLOTS))
+        groups = -(-count // GROUP)
+        sizes = np.minimum(GROUP, count - GROUP * np.arange(groups))
 
-        def draw(frames):
+        def draw_groups(frames):
             for frame in frames:
                 for src, blocks, slots in frame.itertuples(index=False):
-                    n = np.random.default_rng([seed, int(src)]).multinomial(int(slots), np.full(count, 1 / count))
-                    yield pd.DataFrame({"src": src, "blocks": blocks, "shard": np.arange(count), "n": n, "first": np.cumsum(n) - n})[n > 0]
+                    n = np.random.default_rng([seed, int(src)]).multinomial(int(slots), sizes / count)
+                    yield pd.DataFrame({"src": src, "blocks": blocks, "part": np.arange(groups), "n": n, "first": np.cumsum(n) - n})[n > 0]
+
+        def draw(frames):
+            for frame in frames:
+                for src, blocks, part, slots, first in frame.itertuples(index=False):
+                    size = min(GROUP, count - GROUP * int(part))
+                    n = np.random.default_rng([seed, int(src), int(part)]).multinomial(int(slots), np.full(size, 1 / size))
+                    yield pd.DataFrame({"src": src, "blocks": blocks, "shard": part * GROUP + np.arange(size), "n": n, "first": first + np.cumsum(n) - n})[n > 0]
 
-        return self.sources.where("slots > 0").select("src", "blocks", "slots").mapInPandas(draw, "src long, blocks long, shard long, n long, first long")
+        made = self.sources.where("slots > 0").select("src", "blocks", "slots").mapInPandas(draw_groups, "src long, blocks long, part long, n long, first long")
+        return made.repartition(max(1, min(self.tasks, groups)), "src", "part").mapInPandas(draw, "src long, blocks long, shard long, n long, first long")
 
     def slots(self) -> DataFrame:
         """(src, shard, slot, pass, block): the block that each slot takes."""
@@ -126,7 +143,7 @@ class Mixture:
                     key = mix((np.uint64(seed) << np.uint64(40)) + (np.uint64(src) << np.uint64(8)) + turn.astype(np.uint64))
                     yield pd.DataFrame({"src": src, "shard": shard, "slot": k, "pass": turn, "block": permute(k % blocks, np.full(n, blocks), key)})
 
-        return self.shards().repartition("src", "shard").mapInPandas(fill, "src long, shard long, slot long, pass long, block long")
+        return self.shards().repartition(self.tasks, "src", "shard").mapInPandas(fill, "src long, shard long, slot long, pass long, block long")
 
     def pieces(self) -> DataFrame:
         """(uid, src, block, from, upto): where documents meet blocks, word positions in the source's stream."""

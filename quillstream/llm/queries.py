@@ -50,10 +50,8 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of quality 1; background: all documents. The labels grow with the corpus: they are never broadcast."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("qs_id")).distinct()
-    marked = docs.join(good.hint("merge"), F.col("doc_id") == F.col("qs_id"), "left").withColumn("qs_good", F.col("qs_id").isNotNull())
-    models = lm_scoring.train(marked, F.col("qs_good"))
-    return lm_scoring.score(docs, models)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_scoring.score(docs, lm_scoring.train(docs, good))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

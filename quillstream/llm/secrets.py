@@ -2,7 +2,7 @@
 
 Every text is first matched against three base patterns. Texts that hold a `:` or
 `=` are then lexed, line by line, into name-literal pairs (`name = "x"`,
-`name: x`, `"name" => 'x'`). String constants are propagated through later
+`name: x`, `"name" => 'x'`, `x["name"] = "y"`, `name: type = "x"`; literals of several lines and continued lines are not joined). String constants are propagated through later
 right-hand sides, including concatenation with `+`; an unquoted value is one run of letters, digits
 and `+/_.=~-` unless all its parts between `+` are known names. A value reaching a
 sensitive name is scored by that name and by the value's length and entropy. All
@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +40,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_.=~-]+")
 #: Parts of a name that make it sensitive, and how much.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 0.9, "token": 0.8, "apikey": 0.9, "credential": 0.8, "credentials": 0.8, "auth": 0.6, "private": 0.5, "access": 0.4, "api": 0.4, "key": 0.5}
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|<.*>|\$\{.*\}|%.*%|your.*|change.?me|example.*|dummy|none|null|true|false|todo|test)$")
+#: Characters of a value that are kept to tell placeholders; longer values are none.
+KEPT = 1000
 SPLIT = re.compile(r"[_.$-]+|(?<=[a-z0-9])(?=[A-Z])")
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("name", pa.string()), ("score", pa.float64()), ("base", pa.bool_())])
@@ -65,19 +66,68 @@ def name_score(name: str) -> float:
     return 1 - left
 
 
+class Value:
+    """What a right-hand side is made of: its own literals' spans and the constants it refers to. Length and counts of characters are exact; the text itself is kept up to `KEPT` characters."""
+
+    __slots__ = ("length", "counts", "text", "spans", "parts", "best")
+
+    def __init__(self, text: str = "", spans: tuple = ()):
+        self.length, self.counts, self.text = len(text), Counter(text), text if len(text) <= KEPT else None
+        self.spans, self.parts, self.best = list(spans), [], (0.0, "")
+
+    def add(self, other: Value, part: bool) -> None:
+        self.length += other.length
+        self.counts += other.counts
+        self.text = self.text + other.text if self.text is not None and other.text is not None and self.length <= KEPT else None
+        if part:
+            self.parts.append(other)
+        else:
+            self.spans += other.spans
+
+    def score(self) -> float:
+        """0 to 1: longer and less even strings look more like secrets."""
+        if self.length < 8 or self.text is not None and PLACEHOLDER.match(self.text) or any(c.isspace() for c in self.counts):
+            return 0.0
+        bits = -sum(n / self.length * math.log2(n / self.length) for n in self.counts.values())
+        return min(1.0, bits / 3.5) * min(self.length, 12) / 12
+
+    def mark(self, score: float, name: str) -> None:
+        """Every literal that the value is made of gets this score, unless it has a better one; what has been reached with a better one is not walked again."""
+        todo = [self]
+        while todo:
+            value = todo.pop()
+            if value.best < (score, name):
+                value.best = (score, name)
+                todo += value.parts
+
+
 def literal_score(value: str) -> float:
-    """0 to 1: longer and less even strings look more like secrets."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    counts = Counter(value)
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    return min(1.0, bits / 3.5) * min(1.0, len(value) / 12)
-
-
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans of the literals it is made of), constants propagated in reading order."""
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    at = 0
+    return Value(value).score()
+
+
+def _target(toks: list, i: int) -> tuple[str, int] | None:
+    """(name, place of its value) if the tokens from i on begin an assignment: `name = `, `"name": `, `name["key"] = ` (the key names it), `name: type = "literal"`."""
+    kind, word = toks[i][:2]
+    if kind not in ("name", "str") or i + 2 >= len(toks):
+        return None
+    at = i + 1
+    if kind == "str" and toks[at][1] == "]" and i and toks[i - 1][1] == "[":
+        at += 1
+    if at + 1 >= len(toks) or toks[at][1] not in ("=", ":", ":=", "=>"):
+        return None
+    if toks[at][1] == ":":
+        end = at + 1
+        while end < len(toks) and (toks[end][0] == "name" or toks[end][1] in ("[", "]", ",", "|", "?")):
+            end += 1
+        if end > at + 1 and end + 1 < len(toks) and toks[end][1] == "=" and toks[end + 1][0] == "str":
+            at = end
+    return word.strip("\"'"), at + 1
+
+
+def values(text: str) -> list[tuple[str, Value]]:
+    """(name, value) of the assignments, constants propagated in reading order. Linear in the text: a constant is referred to, not copied."""
+    known: dict[str, Value] = {}
+    out, at = [], 0
     for line in text.split("\n"):
         begin, at = at, at + len(line) + 1
         if ":" not in line and "=" not in line:
@@ -85,30 +135,29 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
         toks = [(m.lastgroup, m.group(), begin + m.start(), begin + m.end()) for m in TOKEN.finditer(line) if m.lastgroup != "space"]
         i = 0
         while i + 2 < len(toks):
-            kind, word, _, _ = toks[i]
-            if kind not in ("name", "str") or toks[i + 1][1] not in ("=", ":", ":=", "=>"):
+            target = _target(toks, i)
+            if target is None:
                 i += 1
                 continue
-            name = word.strip("\"'")
-            value, spans, j, whole = "", [], i + 2, True
+            name, j = target
+            first, whole, value = j, True, Value()
             run = RUN.match(line, toks[j][2] - begin)
             if run and run.end() > toks[j][3] - begin:  # longer than its first token
                 after = next((n for n in range(j, len(toks)) if toks[n][2] - begin >= run.end()), len(toks))
                 joined = line[run.end() : run.end() + 1] in ("'", '"') or after < len(toks) and toks[after][1] == "+"
                 if not joined and not all(part in known for part in run.group().split("+")):
-                    value, spans = run.group(), [(begin + run.start(), begin + run.end())]
-                    known[name] = (value, spans)
-                    yield name, value, spans
+                    known[name] = Value(run.group(), [(begin + run.start(), begin + run.end())])
+                    out.append((name, known[name]))
                     i = after
                     continue
             while j < len(toks):
                 k, w, s, e = toks[j]
                 if k == "str":
-                    value, spans = value + w[1:-1], [*spans, (s + 1, e - 1)]
+                    value.add(Value(w[1:-1], [(s + 1, e - 1)]), False)
                 elif k == "name" and w in known:
-                    value, spans = value + known[w][0], spans + known[w][1]
-                elif k in ("bare", "name") and j == i + 2 and (j + 1 >= len(toks) or toks[j + 1][1] != "+"):
-                    value, spans = w, [(s, e)]
+                    value.add(known[w], True)
+                elif k in ("bare", "name") and j == first and (j + 1 >= len(toks) or toks[j + 1][1] != "+"):
+                    value = Value(w, [(s, e)])
                 else:
                     whole = False
                 j += 1
@@ -116,10 +165,11 @@ def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
                     j += 1
                 else:
                     break
-            if whole and spans and value:
-                known[name] = (value, spans)
-                yield name, value, spans
+            if whole and value.length:
+                known[name] = value
+                out.append((name, value))
             i = max(j, i + 2)
+    return out
 
 
 def scan_text(text: str, threshold: float = 0.5) -> list[tuple[str, int, int, str, float, bool]]:
@@ -127,11 +177,15 @@ def scan_text(text: str, threshold: float = 0.5) -> list[tuple[str, int, int, st
     found = [(k, s, e, "", 1.0, True) for k, s, e in base_spans(text)]
     if ":" in text or "=" in text:
         best: dict[tuple[int, int], tuple[float, str]] = {}
-        for name, value, spans in pairs(text):
-            score = name_score(name) * literal_score(value)
+        made = values(text)
+        for name, value in made:
+            score = name_score(name) * value.score()
             if score >= threshold:
-                for span in spans:
-                    best[span] = max(best.get(span, (0.0, "")), (score, name))
+                value.mark(score, name)
+        for _, value in made:
+            if value.best[0] >= threshold:
+                for span in value.spans:
+                    best[span] = max(best.get(span, (0.0, "")), value.best)
         found += [("literal", s, e, name, score, False) for (s, e), (score, name) in best.items() if e > s]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
