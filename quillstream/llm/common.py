@@ -130,7 +130,8 @@ class Bitmap:
     """Which 64-bit hashes may be among those of some rows: two bits each in a bitmap of at most 2^27 bits, sent to the executors. No false negatives."""
 
     def __init__(self, rows: DataFrame, key: Column, scratch: Scratch, most: int = 27):
-        held = scratch.save(rows.select(key.alias("key")), f"bitmap-{uuid.uuid4().hex}")
+        name = f"bitmap-{uuid.uuid4().hex}"
+        held = scratch.save(rows.select(key.alias("key")), name)
         self.bits = max(16, min(most, (16 * held.count()).bit_length()))
         high, low = F.shiftrightunsigned("key", 64 - self.bits), F.col("key").bitwiseAND((1 << self.bits) - 1)
         spots = held.select(F.explode(F.array(high + 1, low + 1)).alias("spot"))  # these functions count from 1
@@ -140,6 +141,7 @@ class Bitmap:
             part = np.frombuffer(row["bits"], np.uint8)
             flat[(row["at"] - 1) * 4096 :][: len(part)] = part[: max(0, len(flat) - (row["at"] - 1) * 4096)]
         self.sent = scratch.spark.sparkContext.broadcast(flat)
+        scratch.drop(name)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         held, out = self.sent.value, np.ones(len(keys), bool)

@@ -222,6 +222,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     best = sums.groupBy("k1", "k2", "item").agg(F.max(share).alias("cover"), F.max("exact").alias("exact"))
     found = best.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("item", "cover", "exact"))).alias("qs_items"))
     found = scratch.save(found.withColumnsRenamed({"k1": "qs_k1", "k2": "qs_k2"}), "found")
+    scratch.drop("hits")
+    scratch.drop("items")
     docs = docs.drop("qs_items", "qs_k1", "qs_k2")
     out = docs.join(found, (k1 == F.col("qs_k1")) & (k2 == F.col("qs_k2")), "left")
     none = F.array().cast("array<struct<item:string,cover:double,exact:boolean>>")

@@ -347,13 +347,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = scratch.save(join.held(docs, False).drop("sketch"), "profile")
     reps = profile.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n")).where("rep IS NOT NULL")
     reps = scratch.save(reps, "reps")
+    small = scratch.save(profile.select("id", "n", "d1", "d2"), "small")
     members = join.members(join.shared(profile), reps)
+    scratch.drop("profile")
+    scratch.drop("named")
     join.load(members)
     links = join.led(members)
     known = components(links, scratch)
     more = join.settled(join.left(join.open(members, known)))
+    for done in ("sets", "members", "led-sketch", "components-of", "open", "left"):
+        scratch.drop(done)
     known = components(links.union(more), scratch).select(F.col("node").alias("rep"), "component")
     classes = reps.join(known.hint("merge"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    rows = profile.select("id", "n", "d1", "d2").join(classes.hint("merge"), ["d1", "d2"], "left")
+    rows = small.join(classes.hint("merge"), ["d1", "d2"], "left")
     out = rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"))
     return scratch.keep(out)

@@ -157,6 +157,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "lines")
     firsts = scratch.save(distinct_lines(docs, id_col, text_col), "firsts")
     gone = scratch.save(near_lines(docs, firsts, scratch, id_col, text_col, fuzzy_chars), "gone")
+    for done in ("halves", "candidates", "variants"):
+        scratch.drop(done)
     docs = docs.drop("n_lines", "n_removed")
     own = "qs"  # no column of the documents begins like the columns of this function
     while any(c.lower().startswith(own) for c in docs.columns):
