@@ -24,6 +24,7 @@ Repeated rows count each time. Extra columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Bitmap, Hashes, Scratch, mix
 
-LEAST, HOT = 5, 1 << 16
+LEAST, HOT, PARTS = 5, 1 << 16, 2
 #: `prev` of rows that count words, and of the row that counts tokens. Word keys are not negative.
 WORD, TOKENS = -1, -2
 #: Tokens handled at a time in a task.
@@ -52,19 +53,19 @@ def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (made | np.uint64(1 << 63)).view(np.int64)
 
 
-def counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(prev, word, n): occurrences of words (prev = WORD), of pairs, and of tokens (prev = TOKENS), summed within a task's stretches."""
+def counts(docs: DataFrame, text_col: str, part: int = 0, parts: int = 1) -> DataFrame:
+    """(prev, word, n): occurrences of words (prev = WORD), of pairs, and of tokens (prev = TOKENS), summed within a task's stretches. Pairs are those whose first word's key falls in `part`; words and tokens come with part 0."""
 
     def summed(held):
         word = np.concatenate(held)
         prev = np.concatenate([np.append(np.int64(TOKENS), h[:-1]) for h in held])  # no pair ends at a text's first word
-        inside = prev != TOKENS
+        inside = (prev != TOKENS) & (prev % parts == part)
         prev, second = prev[inside], word[inside]
         order = np.lexsort((second, prev))
         prev, second = prev[order], second[order]
         new = np.flatnonzero(np.r_[True, (prev[1:] != prev[:-1]) | (second[1:] != second[:-1])]) if len(prev) else np.empty(0, np.int64)
-        single, n = np.unique(word, return_counts=True)
-        columns = (np.concatenate([[TOKENS], np.full(len(single), WORD), prev[new]]), np.concatenate([[0], single, second[new]]), np.concatenate([[len(word)], n, np.diff(np.append(new, len(prev)))]))
+        single, n = np.unique(word if part == 0 else word[:0], return_counts=True)
+        columns = (np.concatenate([[TOKENS], np.full(len(single), WORD), prev[new]]), np.concatenate([[0], single, second[new]]), np.concatenate([[len(word) if part == 0 else 0], n, np.diff(np.append(new, len(prev)))]))
         for s in range(0, len(columns[0]), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 200_000].astype(np.int64)) for c in columns], ["prev", "word", "n"])
 
@@ -76,7 +77,7 @@ def counts(docs: DataFrame, text_col: str) -> DataFrame:
                 if len(word):
                     held.append(word)
                     size += len(word)
-                if size > 8 * CHUNK:
+                if size > 2 * CHUNK:
                     yield from summed(held)
                     held, size = [], 0
         if size:
@@ -95,16 +96,19 @@ class Models:
     hot: dict[str, np.ndarray]
 
 
-def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, hot: int = HOT, add: float = 0.5, discount: float = 0.75) -> Models:
-    """Models of all rows and of those whose id is in `target`, a table of one column of ids."""
+def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, hot: int = HOT, parts: int = PARTS, add: float = 0.5, discount: float = 0.75) -> Models:
+    """Models of all rows and of those whose id is in `target`, a table of one column of ids. The pairs are counted in `parts` passes over the texts, so that disks hold a part of them at a time."""
     scratch = Scratch(docs.sparkSession, "lm-counts")
     ids = target.toDF("qs_id").where("qs_id IS NOT NULL").distinct()
     few = Bitmap(ids, F.xxhash64("qs_id"), scratch).keep(docs.select(id_col, text_col), F.xxhash64(id_col))
     few = few.join(ids.hint("merge"), F.col(id_col) == F.col("qs_id"), "left_semi")  # the ids grow with the corpus; of the texts hardly more than these move
     none = F.lit(0).cast("bigint")
-    both = counts(docs, text_col).select("prev", "word", none.alias("t"), F.col("n").alias("b")).unionByName(counts(few, text_col).select("prev", "word", F.col("n").alias("t"), none.alias("b")))
-    kept = both.groupBy("prev", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).where((F.col("b") >= least) | (F.col("prev") == TOKENS))
-    kept = scratch.save(kept, "counts")
+    made = []
+    for part in range(parts):
+        both = counts(docs, text_col, part, parts).select("prev", "word", none.alias("t"), F.col("n").alias("b")).unionByName(counts(few, text_col, part, parts).select("prev", "word", F.col("n").alias("t"), none.alias("b")))
+        sums = both.groupBy("prev", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+        made.append(scratch.save(sums.where((F.col("b") >= least) | (F.lit(part == 0) & (F.col("prev") == TOKENS))), f"counts-{part}"))
+    kept = reduce(DataFrame.unionByName, made)
     row = kept.where(F.col("prev") == TOKENS).first()
     total = (row["t"], row["b"]) if row else (0, 0)
     words = kept.where(F.col("prev") == WORD).drop("prev")
