@@ -8,7 +8,7 @@ examples, less two standard errors, 0 at least. No feature is left out, and vect
 The examples form an inverted index. The postings of rare features are cut at blocks of examples, and each block's
 largest weight is kept; those of features in more than one of `DENSE` examples are rows of a matrix, multiplied for many texts at once.
 Both together bound what a block of examples can reach; blocks of too small a bound are not read, so the
-k nearest are exact (ties by example order). Their labels vote by squared
+k nearest are exact (to six decimals of the cosine; ties by example order). Their labels vote by squared
 similarity. Votes become probabilities by a monotone fit of leave-one-out votes on the
 examples. Texts that share no feature with any example get the rate of such examples.
 
@@ -48,20 +48,21 @@ class Features(dict):
         super().__init__()
         self.most = most
 
-    def __missing__(self, word: str) -> np.ndarray:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.most:
             self.clear()
-        got = self[word] = np.array([xxhash.xxh3_64_intdigest(f) for f in word_features(word)], np.uint64)
+        got = self[word] = tuple(map(xxhash.xxh3_64_intdigest, word_features(word)))
         return got
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, counts) of a text's features, by hash."""
-        words = Counter((text or "").lower().split())
-        held = [self[w] for w in words]
-        if not held:
-            return np.empty(0, np.uint64), np.empty(0)
-        names, at = np.unique(np.concatenate(held), return_inverse=True)
-        return names, np.bincount(at, np.repeat(list(words.values()), [len(h) for h in held]), len(names))
+        counts: dict[int, int] = {}
+        for word, n in Counter((text or "").lower().split()).items():
+            for h in self[word]:
+                counts[h] = counts.get(h, 0) + n
+        names = np.fromiter(counts.keys(), np.uint64, len(counts))
+        order = np.argsort(names)
+        return names[order], np.fromiter(counts.values(), float, len(counts))[order]
 
 
 def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +97,7 @@ class Model:
         often = np.flatnonzero(df > max(1, n // DENSE))
         self.row = np.full(len(self.names), -1)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), -(-n // BLOCK) * BLOCK))
+        self.dense = np.zeros((len(often), -(-n // BLOCK) * BLOCK), np.float32)
         common = self.row[at] >= 0
         self.dense[self.row[at[common]], owner[common]] = w[common]
         f, self.at, self.w = at[~common], owner[~common], w[~common]
@@ -128,11 +129,11 @@ class Model:
     def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], skip: int | None = None) -> list[list[tuple[int, float]]]:
         """For each text the k most similar examples, exact: (example, cosine) by falling cosine, then example. skip: the example that the first text is, and so on."""
         vectors = [self.vector(*t) for t in texts]
-        asked = np.zeros((len(vectors), len(self.dense)))
+        asked = np.zeros((len(vectors), len(self.dense)), np.float32)
         for i, (f, w) in enumerate(vectors):
             row = self.row[f]
             asked[i, row[row >= 0]] = w[row >= 0]
-        sums = asked @ self.dense
+        sums = (asked @ self.dense).astype(float)
         return [self._nearest(f[self.row[f] < 0], w[self.row[f] < 0], sums[i], -1 if skip is None else skip + i) for i, (f, w) in enumerate(vectors)]
 
     def _nearest(self, f: np.ndarray, w: np.ndarray, total: np.ndarray, skip: int) -> list[tuple[int, float]]:
@@ -145,7 +146,7 @@ class Model:
         ranked = np.argsort(-bound, kind="stable")
         found: list[tuple[float, int]] = []
         at, size = 0, 1 + 2 * self.k // BLOCK
-        while at < len(ranked) and bound[ranked[at]] > 0 and (len(found) < self.k or bound[ranked[at]] >= -found[self.k - 1][0] - 1e-9):
+        while at < len(ranked) and bound[ranked[at]] > 0 and (len(found) < self.k or bound[ranked[at]] >= -found[self.k - 1][0] - 2e-6):
             chosen = ranked[at : at + size]
             at, size = at + size, 4 * size
             mine = np.zeros(len(bound), bool)
@@ -153,11 +154,11 @@ class Model:
             use = np.flatnonzero(mine[block])
             place, of = spans(self.start[piece[use]], self.start[piece[use] + 1])
             score = np.where(np.repeat(mine, BLOCK), total, 0.0) + np.bincount(self.at[place], weight[use][of] * self.w[place], len(total))
-            hit = np.flatnonzero(score > 1e-9)
+            hit = np.flatnonzero(score > 1e-6)
             hit = hit[hit != skip]
             if len(hit) > self.k:  # all that tie with the last stay until they are sorted
-                hit = hit[score[hit] >= np.partition(score[hit], -self.k)[-self.k] - 1e-9]
-            found = sorted(found + [(-round(float(score[i]), 9), int(i)) for i in hit])[: self.k]
+                hit = hit[score[hit] >= np.partition(score[hit], -self.k)[-self.k] - 2e-6]
+            found = sorted(found + [(-round(float(score[i]), 6), int(i)) for i in hit])[: self.k]
         return [(i, -s) for s, i in found]
 
     def vote(self, near: list[tuple[int, float]]) -> float | None:
@@ -193,7 +194,7 @@ def monotone(points: list[tuple[float, float]]) -> tuple[list[float], list[float
     return [xs[i] for i in order], list(np.maximum.accumulate([ys[i] for i in order]))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 4_000, k: int = 15) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 2_500, k: int = 15) -> Model:
     """A model from the labelled rows where `learn` (over the label table's id) holds."""
     rows = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("qs_id")).agg((F.max(label_col) > 0).cast("int").alias("qs_y"))
     rows = F.broadcast(rows.orderBy(F.xxhash64("qs_id"), "qs_id").limit(max_examples))  # at most max_examples ids and labels
