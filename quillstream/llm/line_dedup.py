@@ -86,6 +86,15 @@ def _dropped(text: Column, shifts: bool) -> Column:
     return _let(ready, lambda x: F.flatten(F.transform(F.sequence(F.lit(0), x["count"] - 1), lambda p: of_piece(x, p))))
 
 
+def _within_one(a: Column, b: Column) -> Column:
+    """Whether strings are within one edit: what follows their common prefix, found by halving, is the same but for one character. (Levenshtein distances take time by the square of the length.)"""
+    n, m = F.length(a), F.length(b)
+    longer = lambda lo, step: (lo + step <= F.least(n, m)) & (F.substring(a, F.lit(1), lo + step) == F.substring(b, F.lit(1), lo + step))
+    common = F.aggregate(F.array(*[F.lit(1 << k) for k in range(29, -1, -1)]), F.lit(0), lambda lo, step: F.when(longer(lo, step), lo + step).otherwise(lo))
+    rest = lambda x, skip: F.substring(x, common + 1 + skip, F.greatest(n, m))
+    return F.when(F.abs(n - m) > 1, F.lit(False)).otherwise(rest(a, F.when(n < m, 0).otherwise(1)) == rest(b, F.when(m < n, 0).otherwise(1)))
+
+
 def _key(*parts: Column) -> Column:
     return F.xxhash64(*parts)
 
@@ -149,7 +158,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, scratch: Scratch, id_col: str
     text = held.groupBy("h1", "h2").agg(F.first("line").alias("line"))
     lead = text.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("lead"))
     checked = met.join(text, ["h1", "h2"]).join(lead, ["g1", "g2"])
-    return checked.where((F.levenshtein("line", "lead", 1) >= 0) & (F.levenshtein("line", "lead", 1) <= 1)).select("h1", "h2").distinct()
+    return checked.where(_within_one(F.col("line"), F.col("lead"))).select("h1", "h2").distinct()
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
