@@ -109,6 +109,36 @@ def test_search_edges(spark):
     assert search.fitted(v, 3).first()["embedding"] == [1.0, 0.0, 0.0]
 
 
+def test_batch_search_equals_all_pairs_and_joins_none(spark, monkeypatch):
+    """Copies, ties, nulls, other lengths, zeros, NaN, very large and small elements, repeated and null ids; in one block of queries and in several."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quillstream.functions.columns import vec_cosine
+
+    r = random.Random(5)
+    vectors = [[r.choice([-2.0, -1.0, 0.5, 1.0, 3.0]) for _ in range(4)] for _ in range(150)] + [[1.0, 2.0, 3.0, 4.0]] * 60 + [[r.gauss(0, 1) for _ in range(4)] for _ in range(1200)]
+    vectors += [None, [], [1.0], [1.0, None, 2.0, 3.0], [0.0] * 4, [-0.0] * 4, [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [1e200, 1.0, 1.0, 1.0], [1e-170] * 4, [1e-120, 1e-121, 0.0, 0.0], [1.0, 2.0, 3.0]]
+    ids = list(range(len(vectors)))
+    r.shuffle(ids)
+    rows = [(None if i == 7 else f"é{i}" if i % 9 == 0 else f"v{i}", v) for i, v in zip(ids, vectors)]
+    v = spark.createDataFrame(rows, "object_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i if i != 3 else None, x) for i, x in enumerate([*vectors[:20], *vectors[145:160], *vectors[-13:]])], "query_id int, query array<double>")
+    scored = F.broadcast(q).crossJoin(v).select("query_id", "object_id", vec_cosine(F.col("embedding"), F.col("query")).alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "object_id"))
+    want = scored.withColumn("rank", rank).cache()
+    text = lambda df: sorted(map(str, df.collect()))
+    for block, k, threshold in ((5_000, 1, None), (5_000, 10, 0.9), (20, 10, None), (20, 2000, 0.0)):
+        monkeypatch.setattr(search, "BLOCK_QUERIES", block)
+        found = search.batch_top_k(v, q, k, threshold)
+        assert text(found) == text(want.where(F.col("rank") <= k) if threshold is None else want.where((F.col("rank") <= k) & (F.col("similarity") >= threshold)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert search.batch_top_k(v, q, 0).count() == search.batch_top_k(v.limit(0), q).count() == search.batch_top_k(v, q.limit(0)).count() == 0
+
+
 def test_embedding_is_the_same_on_both_sides(spark):
     df = spark.createDataFrame([("1", "text", "The the cat"), ("2", "text", ""), ("3", "text", None)], "object_id string, type string, text string").withColumn("metadata", F.create_map().cast("map<string,string>"))
     got = {r[0]: list(r[1]) for r in embedding.embed_objects(df).collect()}
