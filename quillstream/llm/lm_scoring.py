@@ -23,15 +23,17 @@ Repeated rows count each time. Extra columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Hashes, Scratch, mix
+from .common import Bitmap, Scratch, mix
 
 LEAST, HOT, PARTS = 5, 1 << 16, 2
 #: `prev` of rows that count words, and of the row that counts tokens. Word keys are not negative.
@@ -40,10 +42,35 @@ WORD, TOKENS = -1, -2
 CHUNK = 500_000
 
 
-def words_of(text: str | None, hashes: Hashes) -> np.ndarray:
-    """Keys of a text's words, 0 to 2^63 - 1."""
-    found = text.encode().lower().split() if text else []
-    return (hashes.of(found) >> np.uint64(1)).astype(np.int64) if found else np.empty(0, np.int64)
+class Words(dict):
+    """word (bytes) -> its number here, from 0 on. Texts become arrays of numbers. Numbers hold until `trim`, which starts anew beyond a bound, so that memory stays flat."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most, self.held = most, array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = len(self.held)
+        self.held.append(xxhash.xxh3_64_intdigest(word, 8) >> 1)
+        return got
+
+    def of(self, text: str | None) -> np.ndarray:
+        found = text.encode().lower().split() if text else []
+        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+
+    def keys_held(self) -> np.ndarray:
+        """Keys of the words by their numbers, 0 to 2^63 - 1."""
+        return np.array(self.held, np.uint64).view(np.int64)
+
+    def trim(self) -> None:
+        if len(self.held) > self.most:
+            self.clear()
+            self.held = array("Q")
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
 
 
 def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -53,37 +80,50 @@ def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (made | np.uint64(1 << 63)).view(np.int64)
 
 
-def counts(docs: DataFrame, text_col: str, part: int = 0, parts: int = 1) -> DataFrame:
-    """(prev, word, n): occurrences of words (prev = WORD), of pairs, and of tokens (prev = TOKENS), summed within a task's stretches. Pairs are those whose first word's key falls in `part`; words and tokens come with part 0."""
+def counts(docs: DataFrame, part: int = 0, parts: int = 1, skip: Bitmap | None = None) -> DataFrame:
+    """(prev, word, t, b) of rows (text, target, key): occurrences of words (prev = WORD), of pairs, and of tokens (prev = TOKENS), in rows of the target and in all, summed within a task's stretches. Pairs are those whose first word's key falls in `part`; words and tokens come with part 0. Rows whose key may be in `skip` are left out; those without a key are not."""
 
-    def summed(held):
-        word = np.concatenate(held)
-        prev = np.concatenate([np.append(np.int64(TOKENS), h[:-1]) for h in held])  # no pair ends at a text's first word
-        inside = (prev != TOKENS) & (prev % parts == part)
-        prev, second = prev[inside], word[inside]
-        order = np.lexsort((second, prev))
-        prev, second = prev[order], second[order]
-        new = np.flatnonzero(np.r_[True, (prev[1:] != prev[:-1]) | (second[1:] != second[:-1])]) if len(prev) else np.empty(0, np.int64)
-        single, n = np.unique(word if part == 0 else word[:0], return_counts=True)
-        columns = (np.concatenate([[TOKENS], np.full(len(single), WORD), prev[new]]), np.concatenate([[0], single, second[new]]), np.concatenate([[len(word) if part == 0 else 0], n, np.diff(np.append(new, len(prev)))]))
+    def summed(texts, flags, words):
+        lens, key = np.array([len(x) for x in texts]), words.keys_held()
+        word, flag = np.concatenate(texts), np.repeat(np.array(flags, np.int64), lens)
+        bits = max(1, len(key).bit_length())
+        inside = np.ones(len(word), bool)  # no pair starts at a text's last word
+        inside[np.cumsum(lens) - 1] = False
+        inside &= (key % parts == part)[word]
+        at = np.flatnonzero(inside)
+        code = np.sort((word[at] << (bits + 1)) | (word[at + 1] << 1) | flag[at])
+        new, low = runs(code >> 1), (1 << bits) - 1
+        pair = code[new] >> 1
+        columns = [key[pair >> bits], key[pair & low], np.add.reduceat(code & 1, new) if len(new) else new, np.diff(np.append(new, len(code)))]
+        if part == 0:
+            n = np.bincount(word)
+            single = np.flatnonzero(n)
+            more = [np.full(len(single), WORD), key[single], np.bincount(word[flag == 1], minlength=len(n))[single], n[single]]
+            columns = [np.concatenate(x) for x in zip(([TOKENS], [0], [flag.sum()], [len(word)]), more, columns)]
         for s in range(0, len(columns[0]), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 200_000].astype(np.int64)) for c in columns], ["prev", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 200_000].astype(np.int64, copy=False)) for c in columns], ["prev", "word", "t", "b"])
 
     def run(batches):
-        hashes, held, size = Hashes(seed=8), [], 0
+        words, texts, flags, size = Words(), [], [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                word = words_of(text, hashes)
+            if skip is not None:
+                key = batch.column(2)
+                out = skip.has(key.fill_null(0).to_numpy()) & key.is_valid().to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(~out))
+            for text, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                word = words.of(text)
                 if len(word):
-                    held.append(word)
+                    texts.append(word)
+                    flags.append(flag)
                     size += len(word)
-                if size > 2 * CHUNK:
-                    yield from summed(held)
-                    held, size = [], 0
+                if size > 4 * CHUNK or len(words) > 2 * words.most:
+                    yield from summed(texts, flags, words)
+                    texts, flags, size = [], [], 0
+                    words.trim()
         if size:
-            yield from summed(held)
+            yield from summed(texts, flags, words)
 
-    return docs.select(text_col).mapInArrow(run, "prev bigint, word bigint, n bigint")
+    return docs.select("text", "target", "key").mapInArrow(run, "prev bigint, word bigint, t bigint, b bigint")
 
 
 @dataclass
@@ -100,12 +140,14 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     """Models of all rows and of those whose id is in `target`, a table of one column of ids. The pairs are counted in `parts` passes over the texts, so that disks hold a part of them at a time."""
     scratch = Scratch(docs.sparkSession, "lm-counts")
     ids = target.toDF("qs_id").where("qs_id IS NOT NULL").distinct()
-    few = Bitmap(ids, F.xxhash64("qs_id"), scratch).keep(docs.select(id_col, text_col), F.xxhash64(id_col))
-    few = few.join(ids.hint("merge"), F.col(id_col) == F.col("qs_id"), "left_semi")  # the ids grow with the corpus; of the texts hardly more than these move
-    none = F.lit(0).cast("bigint")
-    made = []
+    key = F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"))
+    maybe = Bitmap(ids, F.xxhash64("qs_id"), scratch)
+    few = maybe.keep(rows.where("key IS NOT NULL"), F.col("key"))
+    few = few.join(ids.hint("merge"), F.col("id") == F.col("qs_id"), "left").withColumn("target", F.col("qs_id").isNotNull())  # the ids grow with the corpus; of the texts hardly more than those of the target move
+    none, made = F.lit(0).cast("bigint"), []
     for part in range(parts):
-        both = counts(docs, text_col, part, parts).select("prev", "word", none.alias("t"), F.col("n").alias("b")).unionByName(counts(few, text_col, part, parts).select("prev", "word", F.col("n").alias("t"), none.alias("b")))
+        both = counts(rows.withColumn("target", F.lit(False)), part, parts, maybe).unionByName(counts(few, part, parts))  # each text once
         sums = both.groupBy("prev", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
         made.append(scratch.save(sums.where((F.col("b") >= least) | (F.lit(part == 0) & (F.col("prev") == TOKENS))), f"counts-{part}"))
     kept = reduce(DataFrame.unionByName, made)
@@ -160,41 +202,57 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     sent, known = spark.sparkContext.broadcast(models.hot), models.known
     names = ["id", "uid", "key", "n", "last", "lt", "lb"]
 
-    def made(ids, uids, texts):
+    def made(ids, uids, texts, words):
         """A row for each document with its tokens and what the frequent keys add, and one for each of its other n-grams that may be in the table."""
-        hot, lens = sent.value, np.array([len(w) for w in texts])
+        hot, lens, keys = sent.value, np.array([len(w) for w in texts]), words.keys_held()
         word, doc = np.concatenate(texts), np.repeat(np.arange(len(texts)), lens)
         ends = np.zeros(len(word), np.int64)
         ends[np.cumsum(lens)[lens > 0] - 1] = 1
-        inside = np.flatnonzero(ends == 0)
-        key = np.concatenate([word, pair_key(word[inside], word[inside + 1])])
-        doc, ends = np.concatenate([doc, doc[inside]]), np.concatenate([ends, np.zeros(len(inside), np.int64)])
+        # words are numbered anew, in the order of their keys: equal texts add up in the same order
+        seen = np.flatnonzero(np.bincount(word)) if len(word) else word
+        seen = seen[np.argsort(keys[seen])]
+        number = np.empty(len(keys), np.int64)
+        number[seen] = np.arange(len(seen))
+        keys, word, bits = keys[seen], number[word], max(1, len(seen).bit_length())
+        low, inside = (1 << bits) - 1, np.flatnonzero(ends == 0)
+        single = np.sort((doc << (bits + 1)) | (word << 1) | ends)
+        last, single = single & 1, single >> 1
+        new = runs(single)
+        pair = np.sort((doc[inside] << (2 * bits)) | (word[inside] << bits) | word[inside + 1])
+        new2 = runs(pair)
+        last = np.concatenate([np.add.reduceat(last, new) if len(new) else new, np.zeros(len(new2), np.int64)])
+        n = np.concatenate([np.diff(np.append(new, len(single))), np.diff(np.append(new2, len(pair)))])
+        single, pair = single[new], pair[new2]
+        key = np.concatenate([keys[single & low], pair_key(keys[(pair >> bits) & low], keys[pair & low])])
+        doc = np.concatenate([single >> bits, pair >> (2 * bits)])
         at = np.minimum(np.searchsorted(hot["key"], key), max(0, len(hot["key"]) - 1))
         done = hot["key"][at] == key if len(hot["key"]) else np.zeros(len(key), bool)
-        sums = [np.bincount(doc[done], hot[x][at[done]] + hot[a][at[done]] * (1 - ends[done]), len(lens)) for x, a in (("xt", "at"), ("xb", "ab"))]
+        to, of, times, after = at[done], doc[done], n[done], n[done] - last[done]
+        sums = [np.bincount(of, times * hot[x][to] + after * hot[a][to], len(lens)) for x, a in (("xt", "at"), ("xb", "ab"))]
         none = lambda n, t=pa.int64(): pa.nulls(n, t)
         yield pa.RecordBatch.from_arrays([ids, pa.array(uids), none(len(lens)), pa.array(lens), none(len(lens)), pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float))], names)
         left = np.flatnonzero(~done)
         left = left[known.has(key[left])]
-        left = left[np.lexsort((key[left], doc[left]))]
-        new = np.flatnonzero(np.r_[True, (key[left][1:] != key[left][:-1]) | (doc[left][1:] != doc[left][:-1])]) if len(left) else left
-        n, last = np.diff(np.append(new, len(left))), np.add.reduceat(ends[left], new) if len(left) else new
-        left = left[new]
         for s in range(0, len(left), 100_000):
-            i = slice(s, s + 100_000)
-            m = len(left[i])
-            yield pa.RecordBatch.from_arrays([none(m, ids.type), pa.array(uids[doc[left[i]]]), pa.array(key[left[i]]), pa.array(n[i]), pa.array(last[i]), none(m, pa.float64()), none(m, pa.float64())], names)
+            i = left[s : s + 100_000]
+            m = len(i)
+            yield pa.RecordBatch.from_arrays([none(m, ids.type), pa.array(uids[doc[i]]), pa.array(key[i]), pa.array(n[i]), pa.array(last[i]), none(m, pa.float64()), none(m, pa.float64())], names)
 
     def run(batches):
-        hashes = Hashes(seed=8)
+        words = Words()
         for batch in batches:
             uids, start, texts, held = batch.column(2).to_numpy(), 0, [], 0
             for k, text in enumerate(batch.column(1).to_pylist()):
-                texts.append(words_of(text, hashes))
-                held += len(texts[-1])
+                found = words.of(text)
+                if len(found) > CHUNK and texts:  # a long text goes alone: its numbers take many bits
+                    yield from made(batch.column(0).slice(start, k - start), uids[start:k], texts, words)
+                    start, texts, held = k, [], 0
+                texts.append(found)
+                held += len(found)
                 if held > CHUNK or k == batch.num_rows - 1:
-                    yield from made(batch.column(0).slice(start, k + 1 - start), uids[start : k + 1], texts)
+                    yield from made(batch.column(0).slice(start, k + 1 - start), uids[start : k + 1], texts, words)
                     start, texts, held = k + 1, [], 0
+                    words.trim()
 
     rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("uid")).mapInArrow(run, f"id {kind}, uid bigint, key bigint, n bigint, last bigint, lt double, lb double")
     # a document's own row has no key: it takes one of its own, so that these rows spread, and nothing of the table

@@ -530,6 +530,36 @@ def test_lm_losses_against_brute_force(spark, least, hot):
             assert got[i][name] == (pytest.approx(-np.mean([np.log(model.p(v, x)) for v, x in zip([None, *w], w)])) if w else None)
 
 
+def test_lm_counts_of_target_and_all_come_from_one_reading(spark, monkeypatch):
+    """Short stretches, a small word list, parts, rows left out by a bitmap; each word and pair once a stretch, with both counts."""
+    r = random.Random(8)
+    rows = [(t, bool(i % 3 == 0), i if i % 5 else None) for i, t in enumerate([prose(i, r.randint(1, 40)) for i in range(60)] + ["a a a a", "", None, "A a"])]
+    docs = spark.createDataFrame(rows, "text string, target boolean, key long").repartition(2)
+    skip = Bitmap(spark.createDataFrame([(7,), (8,)], "k long"), F.col("k"), Scratch(spark, "skip"))
+    out = skip.has(np.array([k or 0 for *_, k in rows]))
+    held = [((t or "").lower().split(), target) for (t, target, k), gone in zip(rows, out) if k is None or not gone]
+    assert 0 < len(held) < len(rows)
+    words = lm_scoring.Words()
+
+    def key(w):
+        number = words.of(w)[0]
+        return int(words.keys_held()[number])
+
+    want = collections.Counter()
+    for split, target in held:
+        for gram in [(lm_scoring.TOKENS, 0)] * len(split) + [(lm_scoring.WORD, key(w)) for w in split] + [(key(v), key(w)) for v, w in zip(split, split[1:])]:
+            want[(*gram, "b")] += 1
+            want[(*gram, "t")] += target
+    for chunk, parts in ((500_000, 1), (20, 3)):
+        monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
+        found = collections.Counter()
+        made = [x for part in range(parts) for x in lm_scoring.counts(docs, part, parts, skip).collect()]
+        for x in made:
+            found[x["prev"], x["word"], "b"] += x["b"]
+            found[x["prev"], x["word"], "t"] += x["t"]
+        assert +found == +want
+
+
 
 # 9 secrets
 
