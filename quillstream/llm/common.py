@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -88,6 +89,20 @@ class Scratch:
         return df
 
 
+def released(run):
+    """`run` of mapInArrow, which at its end gives free memory back to the machine: workers wait for the next task with what they hold, beside sorts and joins of the JVM."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):  # another C library than glibc
+            pass
+
+    return whole
+
+
 class Hashes(dict):
     """word (bytes) -> 64-bit hash, remembered up to a bound so that memory stays flat."""
 

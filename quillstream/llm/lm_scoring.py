@@ -33,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Scratch, mix
+from .common import Bitmap, Scratch, mix, released
 
 LEAST, HOT, PARTS = 5, 1 << 16, 2
 #: `prev` of rows that count words, and of the row that counts tokens. Word keys are not negative.
 WORD, TOKENS = -1, -2
-#: Tokens handled at a time in a task.
+#: Tokens handled at a time in a task: four times as many are counted (a longer stretch moves fewer rows), a quarter is scored.
 CHUNK = 500_000
+#: Texts taken out of Arrow at a time, and rows handed over at a time.
+TEXTS, ROWS = 500, 100_000
 
 
 class Words(dict):
@@ -56,7 +58,7 @@ class Words(dict):
 
     def of(self, text: str | None) -> np.ndarray:
         found = text.encode().lower().split() if text else []
-        return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
+        return np.fromiter(map(self.__getitem__, found), dtype=np.int32, count=len(found))
 
     def keys_held(self) -> np.ndarray:
         """Keys of the words by their numbers, 0 to 2^63 - 1."""
@@ -73,6 +75,12 @@ def runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
 
 
+def taken(batch: pa.RecordBatch, *columns: int):
+    """Rows of these columns as Python values, which are made for `TEXTS` rows at a time."""
+    for s in range(0, batch.num_rows, TEXTS):
+        yield from zip(*(batch.column(c).slice(s, TEXTS).to_pylist() for c in columns))
+
+
 def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Keys of pairs, all negative, so none is a word's."""
     with np.errstate(over="ignore"):
@@ -83,25 +91,36 @@ def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
 def counts(docs: DataFrame, part: int = 0, parts: int = 1, skip: Bitmap | None = None) -> DataFrame:
     """(prev, word, t, b) of rows (text, target, key): occurrences of words (prev = WORD), of pairs, and of tokens (prev = TOKENS), in rows of the target and in all, summed within a task's stretches. Pairs are those whose first word's key falls in `part`; words and tokens come with part 0. Rows whose key may be in `skip` are left out; those without a key are not."""
 
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in columns], ["prev", "word", "t", "b"])
+
     def summed(texts, flags, words):
         lens, key = np.array([len(x) for x in texts]), words.keys_held()
-        word, flag = np.concatenate(texts), np.repeat(np.array(flags, np.int64), lens)
-        bits = max(1, len(key).bit_length())
-        inside = np.ones(len(word), bool)  # no pair starts at a text's last word
-        inside[np.cumsum(lens) - 1] = False
-        inside &= (key % parts == part)[word]
-        at = np.flatnonzero(inside)
-        code = np.sort((word[at] << (bits + 1)) | (word[at + 1] << 1) | flag[at])
-        new, low = runs(code >> 1), (1 << bits) - 1
-        pair = code[new] >> 1
-        columns = [key[pair >> bits], key[pair & low], np.add.reduceat(code & 1, new) if len(new) else new, np.diff(np.append(new, len(code)))]
+        word, flag = np.concatenate(texts), np.repeat(np.array(flags, np.int8), lens)
+        texts.clear()
         if part == 0:
+            yield rows(*(np.array([x]) for x in (TOKENS, 0, flag.sum(dtype=np.int64), len(word))))
             n = np.bincount(word)
-            single = np.flatnonzero(n)
-            more = [np.full(len(single), WORD), key[single], np.bincount(word[flag == 1], minlength=len(n))[single], n[single]]
-            columns = [np.concatenate(x) for x in zip(([TOKENS], [0], [flag.sum()], [len(word)]), more, columns)]
-        for s in range(0, len(columns[0]), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 200_000].astype(np.int64, copy=False)) for c in columns], ["prev", "word", "t", "b"])
+            single, t = np.flatnonzero(n), np.bincount(word[flag == 1], minlength=len(n))
+            for s in range(0, len(single), ROWS):
+                i = single[s : s + ROWS]
+                yield rows(np.full(len(i), WORD), key[i], t[i], n[i])
+            del n, single, t
+        begins = (key % parts == part)[word]
+        begins[np.cumsum(lens) - 1] = False  # no pair starts at a text's last word
+        at, bits = np.flatnonzero(begins), max(1, len(key).bit_length())
+        code = word[at].astype(np.int64)  # in place from here on: these are the largest arrays of a task
+        code <<= bits
+        code |= word[1:][at] if len(at) else 0
+        code <<= 1
+        code |= flag[at]
+        del word, flag, begins, at
+        code.sort()
+        new, low = runs(code >> 1), (1 << bits) - 1
+        for s in range(0, len(new), ROWS):
+            i, end = new[s : s + ROWS], new[s + ROWS] if s + ROWS < len(new) else len(code)
+            pair = code[i] >> 1
+            yield rows(key[pair >> bits], key[pair & low], np.add.reduceat(code[i[0] : end] & 1, i - i[0]), np.diff(np.append(i, end)))
 
     def run(batches):
         words, texts, flags, size = Words(), [], [], 0
@@ -110,7 +129,7 @@ def counts(docs: DataFrame, part: int = 0, parts: int = 1, skip: Bitmap | None =
                 key = batch.column(2)
                 out = skip.has(key.fill_null(0).to_numpy()) & key.is_valid().to_numpy(zero_copy_only=False)
                 batch = batch.filter(pa.array(~out))
-            for text, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, flag in taken(batch, 0, 1):
                 word = words.of(text)
                 if len(word):
                     texts.append(word)
@@ -123,7 +142,7 @@ def counts(docs: DataFrame, part: int = 0, parts: int = 1, skip: Bitmap | None =
         if size:
             yield from summed(texts, flags, words)
 
-    return docs.select("text", "target", "key").mapInArrow(run, "prev bigint, word bigint, t bigint, b bigint")
+    return docs.select("text", "target", "key").mapInArrow(released(run), "prev bigint, word bigint, t bigint, b bigint")
 
 
 @dataclass
@@ -233,8 +252,8 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         yield pa.RecordBatch.from_arrays([ids, pa.array(uids), none(len(lens)), pa.array(lens), none(len(lens)), pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float))], names)
         left = np.flatnonzero(~done)
         left = left[known.has(key[left])]
-        for s in range(0, len(left), 100_000):
-            i = left[s : s + 100_000]
+        for s in range(0, len(left), ROWS):
+            i = left[s : s + ROWS]
             m = len(i)
             yield pa.RecordBatch.from_arrays([none(m, ids.type), pa.array(uids[doc[i]]), pa.array(key[i]), pa.array(n[i]), pa.array(last[i]), none(m, pa.float64()), none(m, pa.float64())], names)
 
@@ -242,19 +261,19 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         words = Words()
         for batch in batches:
             uids, start, texts, held = batch.column(2).to_numpy(), 0, [], 0
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, (text,) in enumerate(taken(batch, 1)):
                 found = words.of(text)
-                if len(found) > CHUNK and texts:  # a long text goes alone: its numbers take many bits
+                if len(found) > CHUNK // 4 and texts:  # a long text goes alone: its numbers take many bits
                     yield from made(batch.column(0).slice(start, k - start), uids[start:k], texts, words)
                     start, texts, held = k, [], 0
                 texts.append(found)
                 held += len(found)
-                if held > CHUNK or k == batch.num_rows - 1:
+                if held > CHUNK // 4 or k == batch.num_rows - 1:
                     yield from made(batch.column(0).slice(start, k + 1 - start), uids[start : k + 1], texts, words)
                     start, texts, held = k + 1, [], 0
                     words.trim()
 
-    rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("uid")).mapInArrow(run, f"id {kind}, uid bigint, key bigint, n bigint, last bigint, lt double, lb double")
+    rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("uid")).mapInArrow(released(run), f"id {kind}, uid bigint, key bigint, n bigint, last bigint, lt double, lb double")
     # a document's own row has no key: it takes one of its own, so that these rows spread, and nothing of the table
     rows = rows.withColumns({"own": F.col("key").isNull(), "key": F.coalesce("key", F.xxhash64("uid"))})
     table = models.table.select(F.col("key").alias("qs_key"), "xt", "xb", "at", "ab")

@@ -1,14 +1,18 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, repeated rows, clashing columns, no rows."""
 
 import collections
+import ctypes
 import hashlib
 import io
 import random
 import re
+import tracemalloc
+import types
 import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -560,6 +564,29 @@ def test_lm_counts_of_target_and_all_come_from_one_reading(spark, monkeypatch):
         assert +found == +want
 
 
+def test_lm_tasks_hold_little_memory_and_give_it_back(spark, monkeypatch):
+    """Executors keep the most that their Python workers took beside what joins take: bytes a token at the peak, and the end of a task."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(500)) for _ in range(1000)]
+    docs = docs_of(spark, texts[:3])
+    models = lm_scoring.train(docs, docs.select("doc_id"), least=1, hot=10)
+    made = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: made.append(run) or spark.createDataFrame([], schema))
+    lm_scoring.counts(docs.withColumns({"target": F.lit(True), "key": F.lit(1)}))
+    lm_scoring.score(docs, models)
+    given = []
+    monkeypatch.setattr(ctypes, "CDLL", lambda name: types.SimpleNamespace(malloc_trim=given.append))
+    number = pa.array(range(len(texts)), pa.int64())
+    inputs = [[pa.array(texts), pa.array([i % 2 == 0 for i in range(len(texts))]), number], [number, pa.array(texts), number]]
+    for k, (run, columns, most) in enumerate(zip(made, inputs, (45, 80), strict=True)):
+        batch = pa.RecordBatch.from_arrays(columns, ["x", "y", "z"])
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows >= 1000 and peak < most * 500_000 and given == [0] * (k + 1)
+
+
 
 # 9 secrets
 
