@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Whether Spark removes an execution's shuffle files at its end.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Most bytes of a batch of rows on its way to a Python worker, unless the session has its own bound. Each task holds a batch twice in the JVM, beside its heap, and once in its worker; Spark's default is 64 MB.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context, so that jobs don't depend on its being installed there."""
+    """Sends this package to the executors, once a context, so that jobs don't depend on its being installed there. Batches get their bound."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
     context = spark.sparkContext
     if getattr(context, "_quillstream_sent", None):
         return

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Scratch, mix, windows
+from .common import Bitmap, Scratch, mix, released, windows
 
 NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*%?$")
 NUMBER_UNIT = re.compile(r"([+\-]?\d[\d.,]*)(kg|g|mg|km|m|cm|mm|mi|ft|lb|oz|l|ml|h|hr|s|ms|kb|mb|gb|°c|°f|eur|usd)$")
@@ -153,7 +153,7 @@ def index_items(benchmark: DataFrame, item_col: str, text_col: str, width: int,
             yield pa.RecordBatch.from_arrays([part, item, pa.array([m[0][0] for m in made], pa.int32()), pa.array([m[0][1] for m in made], pa.bool_()), signed(1), _lists([m[2] for m in made], pa.int32()), _lists([m[3] for m in made], pa.int32()), signed(4)], ["part", "item", "width", "raw", "keys", "places", "slots", "fillers"])
 
     rows = benchmark.select(F.xxhash64(F.col(item_col).cast("string"), text_col).alias("part"), F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).distinct()
-    return rows.mapInArrow(run, "part bigint, item string, width int, raw boolean, keys array<bigint>, places array<int>, slots array<int>, fillers array<bigint>")
+    return rows.mapInArrow(released(run), "part bigint, item string, width int, raw boolean, keys array<bigint>, places array<int>, slots array<int>, fillers array<bigint>")
 
 
 def hits(docs: DataFrame, kinds: list[tuple[int, bool]], known: Bitmap) -> DataFrame:
@@ -181,7 +181,7 @@ def hits(docs: DataFrame, kinds: list[tuple[int, bool]], known: Bitmap) -> DataF
             if made[0]:
                 yield _hits(made, names)
 
-    return docs.mapInArrow(run, "k1 bigint, k2 bigint, key bigint, place int, slots array<int>, fillers array<bigint>")
+    return docs.mapInArrow(released(run), "k1 bigint, k2 bigint, key bigint, place int, slots array<int>, fillers array<bigint>")
 
 
 def _hits(made: list[list], names: list[str]) -> pa.RecordBatch:
@@ -202,7 +202,7 @@ def checked(met: DataFrame) -> DataFrame:
                 same.append(exact)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(kept, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["k1", "k2", "part", "kept", "same"])
 
-    return met.select("k1", "k2", "part", "width", "slots", "fillers", "windows").mapInArrow(run, "k1 bigint, k2 bigint, part bigint, kept array<int>, same boolean")
+    return met.select("k1", "k2", "part", "width", "slots", "fillers", "windows").mapInArrow(released(run), "k1 bigint, k2 bigint, part bigint, kept array<int>, same boolean")
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, cover: float = 0.5, literals: int = 3) -> DataFrame:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bitmap, Hashes, Scratch, components, mix, windows
+from .common import Bitmap, Hashes, Scratch, components, mix, released, windows
 
 SALT = np.uint64(0x5851F42D4C957F2D)
 #: Sets of a block, and their elements in all.
@@ -169,7 +169,7 @@ def _map(df: DataFrame, id_col: str, text_col: str, n: int, percent: int, errors
                         seen.add(key)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), _lists(sketches), _lists(held)], names)
 
-    return df.select(id_col, text_col).mapInArrow(run, f"id {kind}, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, list array<bigint>")
+    return df.select(id_col, text_col).mapInArrow(released(run), f"id {kind}, n bigint, d1 bigint, d2 bigint, sketch array<bigint>, list array<bigint>")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -238,7 +238,7 @@ class _Join:
                 owner = np.repeat(batch.column(1).to_numpy(), np.diff(at))
                 yield pa.RecordBatch.from_arrays([pa.array(values[at[0] : at[-1]][keep]), pa.array(owner[keep])], ["sig", "d1"])
 
-        return profile.select("list", "d1").mapInArrow(run, "sig bigint, d1 bigint")
+        return profile.select("list", "d1").mapInArrow(released(run), "sig bigint, d1 bigint")
 
     def members(self, rows: DataFrame, reps: DataFrame) -> DataFrame:
         """(sig, id, n, hub, nb) of the signatures that more than one set has; nb: the hub's n."""
@@ -273,7 +273,7 @@ class _Join:
             mine = self.sets.select("id", F.col(what).alias("a"), F.col("n").alias("na"))
             other = self.sets.select(F.col("id").alias("hub"), F.col(what).alias("b"), F.col("n").alias("nb"))
             met = pairs.join(mine.hint("merge"), "id").join(other.hint("merge"), "hub").select("id", "hub", "a", "b", "na", "nb")
-            return self.scratch.save(met.mapInArrow(run, kinds).distinct(), f"led-{what}")
+            return self.scratch.save(met.mapInArrow(released(run), kinds).distinct(), f"led-{what}")
 
         pairs = test("sketch")
         return test("list").select(F.col("id").alias("a"), F.col("hub").alias("b"))
@@ -310,7 +310,7 @@ class _Join:
 
         ready = rows.join(self.sets.select("id", "n", "sketch").hint("merge"), "id").select("key", "i", "j", "side", "id", "comp", "n", "sketch", F.xxhash64("id").alias("mark"))
         grouped = ready.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
-        return self.scratch.save(grouped.mapInArrow(run, f"key bigint, side int, id {self.kind}, comp {self.kind}").distinct(), "left")
+        return self.scratch.save(grouped.mapInArrow(released(run), f"key bigint, side int, id {self.kind}, comp {self.kind}").distinct(), "left")
 
     def settled(self, rows: DataFrame) -> DataFrame:
         """Links that join components, by comparing the sets."""
@@ -337,7 +337,7 @@ class _Join:
 
         ready = rows.join(self.sets.hint("merge"), "id").select("key", "side", "id", "comp", "n", "sketch", "list")
         grouped = ready.repartition("key").sortWithinPartitions("key", "side", "id")
-        return self.scratch.save(grouped.mapInArrow(run, f"a {self.kind}, b {self.kind}"), "settled")
+        return self.scratch.save(grouped.mapInArrow(released(run), f"a {self.kind}, b {self.kind}"), "settled")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, errors: int = 0, block_sets: int = BLOCK_SETS, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, released
 
 STRIP = "\"'“”‘’`()[]{}<>.,;:!?¿¡*_#|-–—…&%$@+=~^/\\"
 PREFIXES = (4,)
@@ -44,7 +44,7 @@ def word_features(word: str) -> tuple[str, ...]:
 class Features(dict):
     """word -> hashes of its features, remembered up to a bound."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -222,4 +222,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 evidence = [[{"example": str(i), "toxic": y, "similarity": s} for i, y, s in e[:shown]] for _, e in made]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in made], pa.float64()), pa.array(evidence, kind)], names=[*cols, "qs_score", "qs_evidence"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

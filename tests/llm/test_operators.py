@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.llm import decontaminate, jaccard_join, language, licences, line_dedup, lm_scoring, media, mixing, secrets, toxicity
-from quillstream.llm.common import Bitmap, Hashes, Scratch, components, crc_mod
+from quillstream.llm.common import BATCH, Bitmap, Hashes, Scratch, components, crc_mod, ship
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, list long, first string"
 WORDS = [f"{a}{b}" for a in "bcdfghklmn" for b in ("a", "e", "io", "ur")]
@@ -129,6 +129,34 @@ def test_toxicity_learns_and_leaves_clean_texts(spark, tmp_path):
     assert {row["qs_score"] for row in toxicity.score(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_tasks_take_small_batches_and_give_memory_back(spark, monkeypatch):
+    """Long texts come some megabytes at a time, so that neither the JVM nor its workers hold those of a whole task; a session's own bound stays."""
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"))  # 16 MB in one task
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["size", "n"])
+
+    before = spark.conf.get(BATCH, None)
+    try:
+        spark.conf.unset(BATCH)
+        ship(spark)
+        got = docs.mapInArrow(sizes, "size long, n long").collect()
+        assert sum(x["n"] for x in got) == 4000 and max(x["size"] for x in got) < 5_000_000
+        spark.conf.set(BATCH, "1m")
+        ship(spark)
+        assert spark.conf.get(BATCH) == "1m"
+    finally:
+        spark.conf.set(BATCH, before) if before is not None else spark.conf.unset(BATCH)
+    model, made, given = toxicity.Model([]), [], []
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", lambda self, run, schema: made.append(run) or spark.createDataFrame([], schema))
+        m.setattr(ctypes, "CDLL", lambda name: types.SimpleNamespace(malloc_trim=given.append))
+        toxicity.score(docs, model)
+        rows = sum(x.num_rows for x in made[0](iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b", None])], ["doc_id", "text"])])))
+    assert rows == 2 and given == [0]
+
+
 # 3 mixing
 
 
