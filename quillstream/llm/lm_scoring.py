@@ -16,6 +16,7 @@ documents' n-grams by a join on the key. Results do not depend on `hot`. Bitmaps
 the table from being moved. Keys are 64-bit hashes.
 
 The counts are summed by task, then by key: the background's over all documents, the target's over those of the ids given.
+A task's sums go in packs, one for each bucket of keys, and the packs of a bucket are added up as arrays: a shuffled row holds many sums.
 Null texts and texts without words have 0 tokens
 and a null score. Without target rows the target's p1 is uniform.
 Repeated rows count each time. Extra columns are ignored.
@@ -23,12 +24,12 @@ Repeated rows count each time. Extra columns are ignored.
 
 from __future__ import annotations
 
-from array import array
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,36 +39,53 @@ from .common import Bitmap, Scratch, mix, released
 LEAST, HOT, PARTS = 5, 1 << 16, 2
 #: `prev` of rows that count words, and of the row that counts tokens. Word keys are not negative.
 WORD, TOKENS = -1, -2
-#: Tokens handled at a time in a task: four times as many are counted (a longer stretch moves fewer rows), a quarter is scored.
+#: Tokens handled at a time in a task: four times as many are counted (a longer stretch moves fewer rows). Twice as many bytes of texts, hardly a third as many tokens, are split and scored.
 CHUNK = 500_000
-#: Texts taken out of Arrow at a time, and rows handed over at a time.
-TEXTS, ROWS = 500, 100_000
+#: Rows handed over at a time.
+ROWS = 100_000
+#: Word numbers of a stretch at most, but for its last texts.
+NUMBERS = 800_000
+#: Buckets of keys, at least, and four for each shuffle partition: a bucket's sums of a pass must fit a task (a million of 24 bytes at 30 GB, reckoned from 0.5 GB). Sums packed at a time in a task, and packs handed over at a time. Sums added up at a time, if whole buckets are that small.
+BUCKETS, PACKED, PACKS, ADDED = 4096, 400_000, 1024, 1_000_000
 
 
-class Words(dict):
-    """word (bytes) -> its number here, from 0 on. Texts become arrays of numbers. Numbers hold until `trim`, which starts anew beyond a bound, so that memory stays flat."""
+class Words:
+    """Texts as arrays of numbers, and the keys of the words by number. A word has one number in a call, maybe others in others; numbers hold until `clear`."""
 
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most, self.held = most, array("Q")
+    def __init__(self):
+        self.keys, self.size = [], 0
 
-    def __missing__(self, word: bytes) -> int:
-        got = self[word] = len(self.held)
-        self.held.append(xxhash.xxh3_64_intdigest(word, 8) >> 1)
-        return got
+    def __len__(self) -> int:
+        return self.size
 
     def of(self, text: str | None) -> np.ndarray:
-        found = text.encode().lower().split() if text else []
-        return np.fromiter(map(self.__getitem__, found), dtype=np.int32, count=len(found))
+        return self.all(pa.array([text], pa.string()))[0]
+
+    def all(self, texts: pa.Array) -> list[np.ndarray]:
+        """An array for each text. Arrow splits at the bytes at which bytes.split() does, but also gives empty words at the ends."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        found = split.flatten().dictionary_encode()
+        number, known = found.indices.to_numpy(), found.dictionary.cast(pa.large_binary())
+        at = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1].tolist() if len(known) else [0]
+        data = known.buffers()[2].to_pybytes() if len(known) else b""
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b], 8) for a, b in zip(at, at[1:])), np.uint64, len(known))
+        empty = np.flatnonzero(np.diff(at) == 0)
+        if len(empty):
+            real = number != empty[0]
+            ends = np.append(0, np.cumsum(real))[ends]
+            number = number[real]
+        number = number + np.int32(self.size)
+        self.keys.append((keys >> np.uint64(1)).view(np.int64))
+        self.size += len(keys)
+        return [number[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
     def keys_held(self) -> np.ndarray:
         """Keys of the words by their numbers, 0 to 2^63 - 1."""
-        return np.array(self.held, np.uint64).view(np.int64)
+        return np.concatenate(self.keys) if self.keys else np.empty(0, np.int64)
 
-    def trim(self) -> None:
-        if len(self.held) > self.most:
-            self.clear()
-            self.held = array("Q")
+    def clear(self) -> None:
+        self.keys, self.size = [], 0
 
 
 def runs(ordered: np.ndarray) -> np.ndarray:
@@ -75,10 +93,14 @@ def runs(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.empty(0, np.int64)
 
 
-def taken(batch: pa.RecordBatch, *columns: int):
-    """Rows of these columns as Python values, which are made for `TEXTS` rows at a time."""
-    for s in range(0, batch.num_rows, TEXTS):
-        yield from zip(*(batch.column(c).slice(s, TEXTS).to_pylist() for c in columns))
+def slices(texts: pa.Array):
+    """Where texts of 2 * `CHUNK` bytes at most begin and end, or one longer text."""
+    ends = np.append(0, np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(), dtype=np.int64))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + 2 * CHUNK, "right")) - 1)
+        yield start, end
+        start = end
 
 
 def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -88,16 +110,101 @@ def pair_key(prev: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (made | np.uint64(1 << 63)).view(np.int64)
 
 
-def counts(docs: DataFrame, part: int = 0, parts: int = 1, skip: Bitmap | None = None) -> DataFrame:
-    """(prev, word, t, b) of rows (text, target, key): occurrences of words (prev = WORD), of pairs, and of tokens (prev = TOKENS), in rows of the target and in all, summed within a task's stretches. Pairs are those whose first word's key falls in `part`; words and tokens come with part 0. Rows whose key may be in `skip` are left out; those without a key are not."""
+def packs(batches, buckets: int):
+    """Batches of counts as batches of (bucket, prev, word, t, b), a row for each bucket that has any, its numbers as bytes. A stretch's counts fit 4 bytes."""
+
+    def packed(held):
+        columns = [np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(4)]
+        held.clear()
+        bucket = (pair_key(columns[0], columns[1]).view(np.uint64) % np.uint64(buckets)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")  # a radix sort, as these are 2 bytes
+        bucket = bucket[order]
+        new = runs(bucket)
+        ends = np.append(new, len(bucket))
+        out = [pa.array(bucket[new].astype(np.int32))]
+        for c, kind in enumerate((np.int64, np.int64, np.int32, np.int32)):
+            values = columns[c][order].astype(kind, copy=False)
+            columns[c] = None
+            out.append(pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)]))
+        made = pa.RecordBatch.from_arrays(out, ["bucket", "prev", "word", "t", "b"])
+        for s in range(0, len(new), PACKS):
+            yield made.slice(s, PACKS)
+
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= PACKED:
+            yield from packed(held)
+    if held:
+        yield from packed(held)
+
+
+def added(columns, least: int) -> list[np.ndarray]:
+    """(prev, word, t, b) with t and b summed by prev and word, where b is `least` or more, and the count of tokens."""
+    prev, word, t, b = columns
+    key = pair_key(prev, word)
+    order = np.argsort(key)
+    new = runs(key[order])
+    for again in (False, True):
+        if again:  # keys of different pairs clash
+            order = np.lexsort((word, prev))
+        by_prev, by_word = prev[order], word[order]
+        starts = np.flatnonzero(np.r_[True, (by_prev[1:] != by_prev[:-1]) | (by_word[1:] != by_word[:-1])])
+        if len(starts) == len(new):
+            break
+    by_prev, by_word = by_prev[starts], by_word[starts]
+    t, b = (np.add.reduceat(n[order], starts, dtype=np.int64) for n in (t, b))
+    kept = (b >= least) | (by_prev == TOKENS)
+    return [x[kept] for x in (by_prev, by_word, t, b)]
+
+
+def unpacked(made: DataFrame, least: int) -> DataFrame:
+    """Sums of packed counts (prev, word, t, b): words and pairs of `least` occurrences or more, and the tokens. Whole buckets are added up, one or more at a time."""
+
+    def values(batch):
+        out = []
+        for c, kind in enumerate((np.int64, np.int64, np.int32, np.int32), 1):
+            column, size = batch.column(c), np.dtype(kind).itemsize
+            ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+            out.append(np.frombuffer(column.buffers()[2], kind, (ends[-1] - ends[0]) // size, ends[0]))
+        return out
+
+    def whole(held):
+        sums = added([np.concatenate(c) for c in zip(*map(values, held))], least)
+        for s in range(0, len(sums[0]), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(c[s : s + ROWS]) for c in sums], ["prev", "word", "t", "b"])
+
+    def run(batches):
+        held, size, at = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1]))  # where the last bucket begins, which may go on in the next batch
+            if size >= ADDED and (cut or bucket[0] != at):
+                yield from whole([*held, batch.slice(0, cut)] if cut else held)
+                held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.column(1).nbytes // 8
+            at = bucket[-1]
+        if held:
+            yield from whole(held)
+
+    return made.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(run), "prev bigint, word bigint, t bigint, b bigint")
+
+
+def counts(docs: DataFrame, part: int = 0, parts: int = 1, skip: Bitmap | None = None, buckets: int = 0) -> DataFrame:
+    """(prev, word, t, b) of rows (text, target, key): occurrences of words (prev = WORD), of pairs, and of tokens (prev = TOKENS), in rows of the target and in all, summed within a task's stretches. Pairs are those whose first word's key falls in `part`; words and tokens come with part 0. Rows whose key may be in `skip` are left out; those without a key are not. With `buckets` they are packed, for `unpacked`."""
 
     def rows(*columns):
         return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in columns], ["prev", "word", "t", "b"])
 
     def summed(texts, flags, words):
-        lens, key = np.array([len(x) for x in texts]), words.keys_held()
-        word, flag = np.concatenate(texts), np.repeat(np.array(flags, np.int8), lens)
+        lens = np.array([len(x) for x in texts])
+        key, number = np.unique(words.keys_held(), return_inverse=True)
+        word, flag = number.astype(np.int32)[np.concatenate(texts)], np.repeat(np.array(flags, np.int8), lens)
         texts.clear()
+        del number
         if part == 0:
             yield rows(*(np.array([x]) for x in (TOKENS, 0, flag.sum(dtype=np.int64), len(word))))
             n = np.bincount(word)
@@ -129,25 +236,28 @@ def counts(docs: DataFrame, part: int = 0, parts: int = 1, skip: Bitmap | None =
                 key = batch.column(2)
                 out = skip.has(key.fill_null(0).to_numpy()) & key.is_valid().to_numpy(zero_copy_only=False)
                 batch = batch.filter(pa.array(~out))
-            for text, flag in taken(batch, 0, 1):
-                word = words.of(text)
-                if len(word):
-                    texts.append(word)
-                    flags.append(flag)
-                    size += len(word)
-                if size > 4 * CHUNK or len(words) > 2 * words.most:
+            for s, e in slices(batch.column(0)):
+                for word, flag in zip(words.all(batch.column(0).slice(s, e - s)), batch.column(1).slice(s, e - s).to_pylist()):
+                    if len(word):
+                        texts.append(word)
+                        flags.append(flag)
+                        size += len(word)
+                if size > 4 * CHUNK or size and len(words) > NUMBERS:
                     yield from summed(texts, flags, words)
                     texts, flags, size = [], [], 0
-                    words.trim()
+                    words.clear()
         if size:
             yield from summed(texts, flags, words)
 
-    return docs.select("text", "target", "key").mapInArrow(released(run), "prev bigint, word bigint, t bigint, b bigint")
+    docs = docs.select("text", "target", "key")
+    if buckets:
+        return docs.mapInArrow(released(lambda batches: packs(run(batches), buckets)), "bucket int, prev binary, word binary, t binary, b binary")
+    return docs.mapInArrow(released(run), "prev bigint, word bigint, t bigint, b bigint")
 
 
 @dataclass
 class Models:
-    """The table: (key, xt, xb, at, ab), the losses that an n-gram adds as a word or pair, and as the context of the next word. Losses of an unknown word. The most frequent rows."""
+    """The table: (key, xt, xb, at, ab), the losses that an n-gram adds as a word or pair, and as the context of the next word. Losses of an unknown word. The most frequent rows, and `first`, their `spots`."""
 
     table: DataFrame
     known: Bitmap
@@ -165,10 +275,10 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     few = maybe.keep(rows.where("key IS NOT NULL"), F.col("key"))
     few = few.join(ids.hint("merge"), F.col("id") == F.col("qs_id"), "left").withColumn("target", F.col("qs_id").isNotNull())  # the ids grow with the corpus; of the texts hardly more than those of the target move
     none, made = F.lit(0).cast("bigint"), []
+    buckets = min(1 << 16, max(BUCKETS, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     for part in range(parts):
-        both = counts(rows.withColumn("target", F.lit(False)), part, parts, maybe).unionByName(counts(few, part, parts))  # each text once
-        sums = both.groupBy("prev", "word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-        made.append(scratch.save(sums.where((F.col("b") >= least) | (F.lit(part == 0) & (F.col("prev") == TOKENS))), f"counts-{part}"))
+        both = counts(rows.withColumn("target", F.lit(False)), part, parts, maybe, buckets).unionByName(counts(few, part, parts, buckets=buckets))  # each text once
+        made.append(scratch.save(unpacked(both, least), f"counts-{part}"))
     kept = reduce(DataFrame.unionByName, made)
     row = kept.where(F.col("prev") == TOKENS).first()
     total = (row["t"], row["b"]) if row else (0, 0)
@@ -211,8 +321,32 @@ def train(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
             break
         from_level = r["level"]
     rows = table.where(level >= from_level).drop("b").toArrow()  # `hot` rows at most
-    at = np.argsort(rows.column("key").to_numpy())
-    return Models(table, Bitmap(table, F.col("key"), scratch), tuple(unknown), {c: rows.column(c).to_numpy()[at] for c in rows.column_names})
+    at = np.argsort(rows.column("key").to_numpy().view(np.uint64))
+    sent = {c: rows.column(c).to_numpy()[at] for c in rows.column_names}
+    return Models(table, Bitmap(table, F.col("key"), scratch), tuple(unknown), sent | {"first": spots(sent["key"])})
+
+
+def spots(keys: np.ndarray) -> np.ndarray:
+    """Where in ascending unsigned keys those of each value of their first bits begin; keys are hashes, so these are few."""
+    bits = len(keys).bit_length() + 1
+    return np.append(0, np.cumsum(np.bincount((keys.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))).astype(np.int32)
+
+
+def place(hot: dict[str, np.ndarray], key: np.ndarray) -> np.ndarray:
+    """The places of keys among the most frequent, -1 for others."""
+    first, keys = hot["first"], hot["key"]
+    spot = (key.view(np.uint64) >> np.uint64(64 - (len(first) - 1).bit_length() + 1)).astype(np.int64)
+    at, end, out = first[spot], first[spot + 1], np.full(len(key), -1, np.int32)
+    del spot
+    todo = np.flatnonzero(at < end)
+    at, end, key = at[todo], end[todo], key[todo]
+    while len(todo):
+        hit = keys[at] == key
+        out[todo[hit]] = at[hit]
+        at += 1
+        more = ~hit & (at < end)
+        todo, at, end, key = todo[more], at[more], end[more], key[more]
+    return out
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,8 +378,8 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
         single, pair = single[new], pair[new2]
         key = np.concatenate([keys[single & low], pair_key(keys[(pair >> bits) & low], keys[pair & low])])
         doc = np.concatenate([single >> bits, pair >> (2 * bits)])
-        at = np.minimum(np.searchsorted(hot["key"], key), max(0, len(hot["key"]) - 1))
-        done = hot["key"][at] == key if len(hot["key"]) else np.zeros(len(key), bool)
+        at = place(hot, key)
+        done = at >= 0
         to, of, times, after = at[done], doc[done], n[done], n[done] - last[done]
         sums = [np.bincount(of, times * hot[x][to] + after * hot[a][to], len(lens)) for x, a in (("xt", "at"), ("xb", "ab"))]
         none = lambda n, t=pa.int64(): pa.nulls(n, t)
@@ -260,18 +394,9 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     def run(batches):
         words = Words()
         for batch in batches:
-            uids, start, texts, held = batch.column(2).to_numpy(), 0, [], 0
-            for k, (text,) in enumerate(taken(batch, 1)):
-                found = words.of(text)
-                if len(found) > CHUNK // 4 and texts:  # a long text goes alone: its numbers take many bits
-                    yield from made(batch.column(0).slice(start, k - start), uids[start:k], texts, words)
-                    start, texts, held = k, [], 0
-                texts.append(found)
-                held += len(found)
-                if held > CHUNK // 4 or k == batch.num_rows - 1:
-                    yield from made(batch.column(0).slice(start, k + 1 - start), uids[start : k + 1], texts, words)
-                    start, texts, held = k + 1, [], 0
-                    words.trim()
+            for s, e in slices(batch.column(1)):
+                yield from made(batch.column(0).slice(s, e - s), batch.column(2).slice(s, e - s).to_numpy(), words.all(batch.column(1).slice(s, e - s)), words)
+                words.clear()
 
     rows = docs.select(id_col, text_col, F.monotonically_increasing_id().alias("uid")).mapInArrow(released(run), f"id {kind}, uid bigint, key bigint, n bigint, last bigint, lt double, lb double")
     # a document's own row has no key: it takes one of its own, so that these rows spread, and nothing of the table

@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillstream.llm import decontaminate, jaccard_join, language, licences, line_dedup, lm_scoring, media, mixing, secrets, toxicity
@@ -592,6 +593,68 @@ def test_lm_counts_of_target_and_all_come_from_one_reading(spark, monkeypatch):
         assert +found == +want
 
 
+@pytest.mark.parametrize("packed,added,buckets", [(400_000, 1_000_000, 4096), (70, 50, 5), (1, 1, 300)])
+def test_lm_counts_move_in_packs(spark, monkeypatch, packed, added, buckets):
+    """A shuffled row holds the counts of a bucket, and what is added up is what each count by itself gives, over stretches, packs, batches and tasks."""
+    for name, value in {"PACKED": packed, "ADDED": added, "PACKS": 3, "CHUNK": 60}.items():
+        monkeypatch.setattr(lm_scoring, name, value)
+    rows = [(prose(i % 50, 1 + i % 37), i % 3 == 0, i) for i in range(150)] + [("a a a a", True, None), ("", True, 1), (None, False, 2)]
+    docs = spark.createDataFrame(rows, "text string, target boolean, key long").repartition(3)
+    sums = lm_scoring.counts(docs).groupBy("prev", "word").agg(F.sum("t"), F.sum("b").alias("b"))
+    made = lm_scoring.counts(docs, buckets=buckets)
+    if buckets == 5:
+        assert made.count() < lm_scoring.counts(docs).count() / 5
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for least in (1, 5):
+            got = [tuple(x) for x in lm_scoring.unpacked(made, least).collect()]
+            assert sorted(got) == sorted(tuple(x) for x in sums.where(f"b >= {least} OR prev = {lm_scoring.TOKENS}").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_lm_training_shuffles_packs(spark, monkeypatch):
+    """A row of its own for each count of a stretch, through the shuffle and its sums, took most of the training's time."""
+    plans, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or save(self, df, name))
+    docs = docs_of(spark, [prose(i, 20) for i in range(20)])
+    lm_scoring.train(docs, docs.where("doc_id < 9").select("doc_id"), parts=2)
+    for name in ("counts-0", "counts-1"):
+        assert "hashpartitioning(prev" not in plans[name] and "hashpartitioning(bucket" in plans[name]
+
+
+def test_lm_words_are_those_of_bytes(monkeypatch):
+    """Texts split as arrays, in slices: the words of text.encode().lower().split(), empty, null, long and odd texts too."""
+    r = random.Random(6)
+    texts = [None, "", " ", "\n\n", "A", " a\tB\x0b c\x0cD\r\n", "É é\u00a0ß\u2003Ä \x1c\x85 x\0y", "x" * 3000] + ["".join(r.choice("aB\u00c9 \t\n\x0b\x0c\r\x1c\u00a0") for _ in range(r.randrange(40))) for _ in range(200)]
+    column = pa.array(["cut", *texts, "cut"]).slice(1, len(texts))
+    for chunk in (1, 30, 500_000):
+        monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
+        words, found = lm_scoring.Words(), []
+        for s, e in lm_scoring.slices(column):
+            assert e == s + 1 or sum(len((t or "").encode()) for t in texts[s:e]) <= 2 * chunk
+            found += words.all(column.slice(s, e - s))
+        keys = words.keys_held()
+        assert [keys[x].tolist() for x in found] == [[xxhash.xxh3_64_intdigest(w, 8) >> 1 for w in (t or "").encode().lower().split()] for t in texts]
+
+
+def test_lm_packed_counts_of_clashing_keys(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "pair_key", lambda prev, word: np.zeros(len(prev), np.int64))
+    columns = [np.array(x) for x in ([1, 2, 1, 3, 2], [7, 7, 7, 7, 8], [0, 1, 1, 0, 0], [4, 5, 1, 4, 9])]
+    assert [x.tolist() for x in lm_scoring.added(columns, 5)] == [[1, 2, 2], [7, 7, 8], [1, 1, 0], [5, 5, 9]]
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_lm_places_of_frequent_keys(n):
+    r = np.random.default_rng(n)
+    keys = np.unique(np.r_[r.integers(0, 1 << 64, n, np.uint64), np.arange(min(n, 40), dtype=np.uint64), np.uint64((1 << 64) - 1) - np.arange(min(n, 40), dtype=np.uint64)])
+    asked = r.permutation(np.r_[keys, r.integers(0, 1 << 64, 500, np.uint64), keys + np.uint64(1)])
+    where = {k: i for i, k in enumerate(keys.tolist())}
+    got = lm_scoring.place({"key": keys.view(np.int64), "first": lm_scoring.spots(keys.view(np.int64))}, asked.view(np.int64))
+    assert got.tolist() == [where.get(k, -1) for k in asked.tolist()]
+
+
 def test_lm_tasks_hold_little_memory_and_give_it_back(spark, monkeypatch):
     """Executors keep the most that their Python workers took beside what joins take: bytes a token at the peak, and the end of a task."""
     r = random.Random(9)
